@@ -92,3 +92,11 @@ def bounded_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with at least two partitions a core, for work that is heavy per row; its own partitioning if that has as many."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.rdd().getNumPartitions() >= 2 * cores:
+        return df
+    return df.repartition(3 * cores, *keys)
