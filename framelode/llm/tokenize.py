@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framelode.runtime import spread
+
 BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.json"
 
 #: Fixed value: the pattern by which this family of byte-level encoders splits text into words.
@@ -177,7 +179,7 @@ def _over(df: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
             made = make(batch.column(len(columns) - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*columns[:-1], "made"])
 
-    return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(apply, schema)
+    return spread(df.select(*[F.col(f"`{c}`") for c in columns]), *[f"`{c}`" for c in columns]).mapInArrow(apply, schema)
 
 
 def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = BYTE_BPE_50K) -> DataFrame:
