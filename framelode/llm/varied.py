@@ -7,21 +7,31 @@ exceeds it. Gains only fall, so a round looks only at records whose last known g
 reaches the threshold. All records of a round are chosen at once, so each feature
 lets only as many records in as keep its own gain from falling below the next
 threshold: by a hash of the record, and always the record with the smallest hash.
+
+Records stay where they are: what is known of features (how often they are chosen, how
+many records they let in) comes to them, as a broadcast while it has at most
+MOST_FEATURES rows of two numbers, and by a shuffled join beyond that.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelode.runtime import Scratch, bounded_broadcast
+from framelode.runtime import Scratch
 
 #: Each round's threshold is so much of the one before.
-FALL = 0.75
+FALL = 0.85
 #: Rounds after which the rest of the size is taken by gain alone.
-ROUNDS = 30
+ROUNDS = 40
 #: A round takes at most this part of the open size by its proportional share.
 PART = 8
+#: Features whose numbers are sent to every worker (16 bytes each); more are joined.
+MOST_FEATURES = 500_000
 
 
 def _unit(c: Column, salt: int) -> Column:
@@ -29,6 +39,30 @@ def _unit(c: Column, salt: int) -> Column:
     return (F.xxhash64(c, F.lit(salt)).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
 
 
+def attach(records: DataFrame, values: DataFrame, most: int = MOST_FEATURES) -> DataFrame:
+    """``records`` (id, fs, gain) with ``vs``: for each feature in ``fs`` its value in ``values`` (f, v), 0 if it has none."""
+    known = values.limit(most + 1).toPandas()
+    if len(known) > most:
+        flat = records.select("id", F.posexplode("fs").alias("i", "f")).join(values, "f", "left")
+        listed = flat.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("v", F.lit(0.0)).alias("v")))), lambda x: x["v"]).alias("vs"))
+        return records.join(listed, "id", "left").select("id", "fs", "gain", F.coalesce("vs", F.array().cast("array<double>")).alias("vs"))
+    known = known.sort_values("f")
+    shared = records.sparkSession.sparkContext.broadcast((known["f"].to_numpy("int64"), known["v"].to_numpy("float64")))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, found = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0))
+            vs = np.where(keys[at] == flat, found[at], 0.0) if len(keys) else np.zeros(len(flat))
+            sizes = np.diff(lists.offsets.to_numpy())
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype("int32"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, batch.column(2), pa.ListArray.from_arrays(offsets, pa.array(vs))], names=["id", "fs", "gain", "vs"])
+
+    return records.select("id", "fs", "gain").mapInArrow(look_up, "id string, fs array<long>, gain double, vs array<double>")
+
+
 def varied_subset(df: DataFrame, record: str, features: str, size: int, scratch: Scratch | None = None) -> DataFrame:
     """``record, round, gain`` of ``size`` records (all, if there are fewer) that cover the features well.
 
@@ -39,63 +73,47 @@ def varied_subset(df: DataFrame, record: str, features: str, size: int, scratch:
     * Repeated features of a record count once; equal gains are resolved by a hash of the id, then the id.
     * ``size`` < 1 and empty tables give no rows. Other columns are never read.
     """
-    spark = df.sparkSession
-    scratch = scratch or Scratch(spark, "varied")
+    scratch = scratch or Scratch(df.sparkSession, "varied")
     base = df.where(F.col(f"`{record}`").isNotNull()).select(F.col(f"`{record}`").cast("string").alias("id"), F.coalesce(F.col(f"`{features}`").cast("array<string>"), F.array().cast("array<string>")).alias("fs"))
     base = base.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("fs"))).alias("fs"))
     coded = base.select("id", F.transform(F.filter("fs", lambda f: f.isNotNull()), lambda f: F.xxhash64(f)).alias("fs"))
     left = scratch.put(coded.withColumn("gain", F.size("fs").cast("double")), "records")
-    top = left.agg(F.max("gain")).first()[0]
-    picked, open_size, level, mass = [], size, top or 0.0, None
+    level, open_size, picked, mass = left.agg(F.max("gain")).first()[0] or 0.0, size, [], None
     for turn in range(ROUNDS):
-        if open_size < 1 or not level:
+        if open_size < 1 or level < 1e-6:
             break
-        able = left.where(F.col("gain") >= level)
-        pairs = able.select("id", F.explode("fs").alias("f"))
+        old = left
         if mass is not None:
             # Exact gains of the records that can still reach the threshold.
-            known = bounded_broadcast(mass, mass.count())
-            now = pairs.join(known, "f", "left").groupBy("id").agg(F.sum(F.sqrt(F.coalesce("m", F.lit(0)) + 1) - F.sqrt(F.coalesce("m", F.lit(0)))).alias("now"))
-            able = scratch.put(able.join(now, "id").select("id", "fs", F.col("now").alias("gain")), f"able{turn}")
-            chosen_from = able.where(F.col("gain") >= level)
-            pairs = chosen_from.select("id", F.explode("fs").alias("f"))
-        else:
-            chosen_from = able
-        hashed = pairs.withColumn("u", _unit(F.col("id"), turn))
-        limits = hashed.groupBy("f").agg(F.count("*").alias("n"), F.min("u").alias("least"))
-        if mass is not None:
-            limits = limits.join(mass, "f", "left")
-        m = F.coalesce("m", F.lit(0)) if mass is not None else F.lit(0)
-        total = chosen_from.count()
-        if total:
-            room = F.greatest(m * (FALL**-2 - 1), F.lit(1.0)) / F.col("n")
-            limits = scratch.put(limits.select("f", F.greatest("least", room, F.lit(open_size / (PART * total))).alias("limit")), f"limits{turn}")
-            passed = hashed.join(bounded_broadcast(limits, limits.count()), "f").groupBy("id").agg(F.bool_and(F.col("u") <= F.col("limit")).alias("ok")).where("ok").select("id")
-            take = chosen_from.join(passed, "id").select("id", "fs", "gain")
-            take = take.orderBy(F.desc("gain"), _unit(F.col("id"), turn), "id").limit(open_size)
-            take = scratch.put(take.withColumn("round", F.lit(turn)), f"take{turn}")
-            got = take.count()
-            if got:
-                picked.append(take)
-                open_size -= got
-                added = take.select(F.explode("fs").alias("f")).groupBy("f").agg(F.count("*").alias("m"))
-                new = added if mass is None else mass.unionAll(added).groupBy("f").agg(F.sum("m").alias("m"))
-                old, mass = mass, scratch.put(new, f"mass{turn}")
-                scratch.drop(old)
-                rest = left.join(take.select("id"), "id", "left_anti")
-            else:
-                rest = left
-        else:
-            rest, got = left, 0
-        if turn and open_size > 0:
-            rest = rest.join(able.select("id", F.col("gain").alias("now")), "id", "left").select("id", "fs", F.coalesce("now", "gain").alias("gain"))
-        if (turn or got) and open_size > 0:
-            after = scratch.put(rest, f"left{turn}")
-            scratch.drop(left, able)
-            left = after
+            gain = F.aggregate("vs", F.lit(0.0), lambda s, m: s + F.sqrt(m + 1) - F.sqrt(m))
+            exact = attach(left.where(F.col("gain") >= level), mass.select("f", "v")).select("id", "fs", gain.alias("gain"))
+            left = scratch.put(exact.unionAll(left.where(F.col("gain") < level)), f"gains{turn}")
+            scratch.drop(old)
+        able = left.where(F.col("gain") >= level)
+        total = able.count()
+        if not total:
+            level *= FALL
+            continue
+        u = _unit(F.col("id"), turn)
+        asked = able.select(F.explode("fs").alias("f"), u.alias("u")).groupBy("f").agg(F.count("*").alias("n"), F.min("u").alias("least"))
+        asked = asked.join(mass, "f", "left") if mass is not None else asked.withColumn("v", F.lit(0.0))
+        room = F.greatest(F.coalesce("v", F.lit(0.0)) * (FALL**-2 - 1), F.lit(1.0)) / F.col("n")
+        limits = scratch.put(asked.select("f", F.greatest("least", room, F.lit(open_size / (PART * total))).alias("v")), f"limits{turn}")
+        judged = attach(able, limits).select("id", "fs", "gain", F.forall("vs", lambda v: u <= v).alias("taken"))
+        after = scratch.put(judged.unionAll(left.where(F.col("gain") < level).withColumn("taken", F.lit(False))), f"judged{turn}")
+        scratch.drop(left, limits)
+        take = after.where("taken").select("id", "fs", "gain", F.lit(turn).alias("round"))
+        got = take.count()
+        if got > open_size:
+            take, got = take.orderBy(F.desc("gain"), u, "id").limit(open_size), open_size
+        picked.append(scratch.put(take, f"take{turn}"))
+        open_size -= got
+        added = picked[-1].select(F.explode("fs").alias("f")).groupBy("f").agg(F.count("*").cast("double").alias("v"))
+        before, mass = mass, scratch.put(added if mass is None else mass.unionAll(added).groupBy("f").agg(F.sum("v").alias("v")), f"mass{turn}")
+        scratch.drop(before)
+        left = after.where("not taken").select("id", "fs", "gain")
+        left._scratch_path = after._scratch_path
         level *= FALL
-        if level < 1e-6:
-            break
     if open_size > 0:
         rest = left.orderBy(F.desc("gain"), _unit(F.col("id"), 0), "id").limit(open_size)
         picked.append(scratch.put(rest.withColumn("round", F.lit(ROUNDS)), "rest"))
