@@ -31,15 +31,20 @@ def normal_query_column(c: Column) -> Column:
     return F.trim(F.regexp_replace(nfkc(c), r"(?U)\s+", " "))
 
 
+def strip(c: Column) -> Column:
+    """``c`` without white space of any kind at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def normalize_text(c: Column) -> Column:
     """Line ends as ``\\n``; per line, tabs and blanks collapsed and trimmed; empty lines dropped."""
     lines = F.split(F.regexp_replace(c, "\r\n?", "\n"), "\n")
-    return F.array_join(F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: x != ""), "\n")
+    return F.array_join(F.filter(F.transform(lines, lambda x: strip(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: x != ""), "\n")
 
 
 def norm_text(c: Column) -> Column:
     """A written-out ``\\n`` counts as a line end; white space runs become one blank."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\\n", "\n"), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\\n", "\n"), r"(?U)\s+", " "))
 
 
 CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
@@ -69,7 +74,7 @@ def char_metrics(text: Column) -> dict[str, Column]:
     """Counts and shares of kinds of signs, and how much lines repeat."""
     count = lambda p: F.regexp_count(text, F.lit(p))
     n = F.length(text)
-    lines = F.filter(F.transform(F.split(text, r"[\n;；|]"), lambda x: F.trim(x)), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, r"[\n;；|]"), lambda x: strip(x)), lambda x: x != "")
     distinct = F.size(F.array_distinct(F.filter(F.split(text, ""), lambda x: x != "")))
     total, unique = F.size(lines), F.size(F.array_distinct(lines))
     return {
@@ -123,7 +128,7 @@ def ordered_unique(parts: Column, sep: str = "|") -> Column:
 
 def split_sentences_zh(text: Column) -> Column:
     """Cut after ``。！？；;`` or at line ends; parts trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(text, r"(?<=[。！？；;])|\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, r"(?<=[。！？；;])|\n"), lambda x: strip(x)), lambda x: x != "")
 
 
 def supported_text(text: Column, terms: Column, cap: int = 600) -> Column:
