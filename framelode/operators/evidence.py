@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelode.functions import hashing, vectors
+from framelode.functions.text import strip
 
 
 def neighbours(frames: DataFrame, source: str, time: str, key: str, radius: int = 3) -> DataFrame:
     """Every frame with those up to ``radius`` ranks away in its source: an equi-join on (source, rank), not a range join."""
-    w = Window.partitionBy(source).orderBy(time, key)
+    w = Window.partitionBy("s").orderBy("t", "id")
     ranked = frames.select(F.col(source).alias("s"), F.col(key).alias("id"), F.col(time).alias("t")).withColumn("r", F.row_number().over(w))
     steps = F.array(*[F.lit(i) for i in range(-radius, radius + 1) if i])
     left = ranked.select("s", F.col("id").alias("anchor"), F.explode(steps).alias("step"), "r").select("s", "anchor", "step", (F.col("r") + F.col("step")).alias("r"))
@@ -48,7 +49,7 @@ def merge_supplement(base: DataFrame, supplement: DataFrame, key: str, evidence:
 
 def documents(evidence: DataFrame, unit: str, text: str) -> DataFrame:
     """One document per unit: its distinct texts in order of their digest, divided by blank lines."""
-    hashed = evidence.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").select(unit, F.sha2(F.col(text), 256).alias("sha"), F.col(text).alias("text"))
+    hashed = evidence.where(strip(F.coalesce(F.col(text), F.lit(""))) != "").select(unit, F.sha2(F.col(text), 256).alias("sha"), F.col(text).alias("text"))
     return hashed.groupBy(unit).agg(F.array_sort(F.collect_set(F.struct("sha", "text"))).alias("parts")).select(unit, F.size("parts").alias("parts"), F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("document"))
 
 

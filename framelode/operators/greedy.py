@@ -107,32 +107,35 @@ def spaced_representatives(df: DataFrame, source: str, time: str, tie: str, budg
     return _grouped(df, source, choose, schema)
 
 
-def leaders(df: DataFrame, source: str, schema: str, order: list[tuple[str, bool]], same: Callable[[pd.Series, pd.Series], bool], key: str) -> DataFrame:
-    """Each row joins the first leader it is the same as, or becomes one. Adds ``leader``."""
+def leaders(df: DataFrame, source: str, schema: str, order: list[tuple[str, bool]], same: Callable[[dict, dict], np.ndarray], key: str) -> DataFrame:
+    """Each row joins the first leader it is the same as, or becomes one. Adds ``leader``. ``same`` compares a row with arrays of leaders."""
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values([c for c, _ in order], ascending=[a for _, a in order], kind="stable").reset_index(drop=True)
+        values = {c: g[c].to_numpy() for c in g.columns}
         found: list[int] = []
         leader = []
         for i in range(len(g)):
-            hit = next((j for j in found if same(g.iloc[i], g.iloc[j])), None)
-            if hit is None:
+            hits = np.flatnonzero(same({c: v[i] for c, v in values.items()}, {c: v[found] for c, v in values.items()})) if found else ()
+            if not len(hits):
                 found.append(i)
-                hit = i
-            leader.append(g[key][hit])
-        return g.assign(leader=leader)
+            leader.append(found[hits[0]] if len(hits) else i)
+        return g.assign(leader=values[key][leader])
 
     return _grouped(df, source, choose, schema)
 
 
-def novel_first(df: DataFrame, source: str, schema: str, order: list[tuple[str, bool]], duplicate: Callable[[pd.Series, pd.Series], bool], cap: int) -> DataFrame:
+def novel_first(df: DataFrame, source: str, schema: str, order: list[tuple[str, bool]], duplicate: Callable[[dict, dict], np.ndarray], cap: int) -> DataFrame:
     """In order, keep up to ``cap`` rows that duplicate none kept before; if all duplicate, the first stays."""
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values([c for c, _ in order], ascending=[a for _, a in order], kind="stable").reset_index(drop=True)
+        values = {c: g[c].to_numpy() for c in g.columns}
         kept: list[int] = []
         for i in range(len(g)):
-            if len(kept) < cap and not any(duplicate(g.iloc[i], g.iloc[j]) for j in kept):
+            if len(kept) == cap:
+                break
+            if not kept or not duplicate({c: v[i] for c, v in values.items()}, {c: v[kept] for c, v in values.items()}).any():
                 kept.append(i)
         return g.iloc[kept or [0]]
 

@@ -93,3 +93,48 @@ def similar_pairs(items: DataFrame, key: str, vector: str, least: float, unit: s
         on = on & (F.col("a.u") != F.col("b.u"))
     met = a.join(b, on).select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.col("a.v").alias("va"), F.col("b.v").alias("vb")).dropDuplicates(["a", "b"])
     return met.withColumn("similarity", vectors.cosine(F.col("va"), F.col("vb"))).where(F.col("similarity") >= least).select("a", "b", "similarity")
+
+
+#: Queries that meet every item in one pass.
+QUERY_BLOCK = 1000
+
+
+def scan_queries(items: DataFrame, queries: DataFrame, key: str, vector: str, least: float) -> DataFrame:
+    """``query, item, similarity`` of at least ``least``: a stated set of queries against all items, exact.
+
+    Queries come in blocks of QUERY_BLOCK, each multiplied with the items where they lie; items are never shuffled.
+    """
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pandas as pd
+
+    kind = items.schema[key].dataType.simpleString()
+    out, last = None, None
+    while True:
+        ordered = queries.where(F.col(key).isNotNull() & (F.size(vector) > 0)) if last is None else queries.where((F.col(key) > last) & (F.size(vector) > 0))
+        block = ordered.select(key, vector).orderBy(key).limit(QUERY_BLOCK).collect()
+        if not block:
+            break
+        last = block[-1][0]
+        ids, q = [r[0] for r in block], np.array([r[1] for r in block], dtype=float)
+        shared = items.sparkSession.sparkContext.broadcast((ids, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
+
+        def meet(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, known = shared.value
+            for rows in batches:
+                rows = rows[rows["v"].map(lambda x: x is not None and len(x) == known.shape[1])]
+                if not len(rows):
+                    continue
+                v = np.array(rows["v"].tolist(), dtype=float)
+                scores = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)) @ known.T
+                i, j = np.nonzero(scores >= least)
+                yield pd.DataFrame({"query": [names[x] for x in j], "item": rows["k"].to_numpy()[i], "similarity": scores[i, j]})
+
+        found = items.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(meet, f"query {kind}, item {kind}, similarity double")
+        out = found if out is None else out.unionAll(found)
+        if len(block) < QUERY_BLOCK:
+            break
+    if out is None:
+        out = items.limit(0).select(F.col(key).alias("query"), F.col(key).alias("item"), F.lit(0.0).alias("similarity"))
+    return out
