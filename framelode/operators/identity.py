@@ -129,7 +129,8 @@ def scan_queries(items: DataFrame, queries: DataFrame, key: str, vector: str, le
                 v = np.array(rows["v"].tolist(), dtype=float)
                 scores = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)) @ known.T
                 i, j = np.nonzero(scores >= least)
-                yield pd.DataFrame({"query": [names[x] for x in j], "item": rows["k"].to_numpy()[i], "similarity": scores[i, j]})
+                if len(i):
+                    yield pd.DataFrame({"query": [names[x] for x in j], "item": rows["k"].to_numpy()[i], "similarity": scores[i, j]})
 
         found = items.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInPandas(meet, f"query {kind}, item {kind}, similarity double")
         out = found if out is None else out.unionAll(found)

@@ -36,7 +36,8 @@ def spaced(events: DataFrame, key: str, id: str, ms: str, gap: int) -> DataFrame
                 last = t
         if last is not None:
             state.update((last,))
-        yield pd.DataFrame(kept, columns=[key, id, ms])
+        if kept:
+            yield pd.DataFrame(kept, columns=[key, id, ms])
 
     kinds = {c: events.schema[c].dataType.simpleString() for c in (key, id, ms)}
     schema = f"{key} {kinds[key]}, {id} {kinds[id]}, {ms} {kinds[ms]}"
