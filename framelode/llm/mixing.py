@@ -42,7 +42,7 @@ def plan(targets: DataFrame, sizes: DataFrame, total: int | None = None) -> Data
     has = clean.join(sizes, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     can = (F.col("tokens") > 0) & (F.col("w") > 0) & (F.coalesce("cap", F.lit(1)) > 0)
     share = F.when(can, F.col("w") / F.sum(F.when(can, F.col("w"))).over(own)).otherwise(0.0)
-    has = has.withColumn("share", share).withColumn("wanted_share", F.col("w") / F.sum("w").over(own))
+    has = has.withColumn("share", share).withColumn("wanted_share", F.coalesce(F.try_divide("w", F.sum("w").over(own)), F.lit(0.0)))
     most = F.min(F.when(can & F.col("cap").isNotNull(), F.col("tokens") * F.col("cap") / F.col("share"))).over(own)
     every = F.sum(F.when(can, F.col("tokens"))).over(own).cast("double")
     has = has.withColumn("total", F.coalesce(most, every, F.lit(0.0)))
