@@ -28,6 +28,28 @@ def propagate(pairs: DataFrame, mentioned: DataFrame, labels: DataFrame) -> Data
     return flat.withColumn("confidence", vectors.step_confidence(F.col("step"), F.col("overlap")))
 
 
+def mentions(docs: DataFrame, doc: str, body: str, terms: DataFrame, most: int = 10_000) -> DataFrame:
+    """``doc, term`` for each term that a document's text mentions.
+
+    Terms that begin with a letter a-z or digit meet texts by an equi-join on their first word, and only longer ones are
+    then tested as a whole. Other terms are looked for as substrings: a registry of at most ``most``, checked, goes with the plan.
+    """
+    from framelode.functions.text import term_matches
+
+    known = terms.select(F.lower(F.trim(terms[terms.columns[0]])).alias("term")).where("term <> ''").distinct()
+    text = docs.where(F.col(body).isNotNull()).select(F.col(doc), F.lower(body).alias("x"))
+    worded = known.where(F.col("term").rlike("^[a-z0-9]")).withColumn("word", F.regexp_extract("term", "^[a-z0-9]+", 0))
+    words = text.select(doc, "x", F.explode(F.array_distinct(F.regexp_extract_all("x", F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
+    met = words.join(worded, "word").where((F.col("term") == F.col("word")) | term_matches(F.col("x"), F.col("term"))).select(doc, "term")
+    rest = [r[0] for r in known.where(~F.col("term").rlike("^[a-z0-9]")).limit(most + 1).collect()]
+    if len(rest) > most:
+        raise ValueError(f"more than {most} terms that aren't words")
+    if not rest:
+        return met
+    found = text.select(doc, F.explode(F.filter(F.array(*[F.lit(t) for t in sorted(rest)]), lambda t: term_matches(F.col("x"), t))).alias("term"))
+    return met.unionAll(found)
+
+
 def roll_up(items: DataFrame) -> DataFrame:
     """One row per target: its labels and anchors, sorted and joined, and the best confidence."""
     return items.groupBy("target").agg(F.array_join(F.array_sort(F.collect_set("label")), "|").alias("labels"), F.array_join(F.array_sort(F.collect_set("anchor")), "|").alias("anchors"), F.max("confidence").alias("confidence"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelode.functions import hashing, text, times, vectors
-from framelode.operators import audit
+from framelode.operators import audit, evidence
 from framelode.plans.base import FILES, LABELS, QUEUE, Tables, query
 
 STRIP = r"regexp_replace({0}, '^[\s\x0b\x85\p{{Z}}]+|[\s\x0b\x85\p{{Z}}]+$', '', 'g')"
@@ -39,9 +39,8 @@ def exact_queries(t: Tables) -> DataFrame:
 @query(f"""WITH d AS (SELECT doc_id, lower(text) AS x FROM documents WHERE text IS NOT NULL), v AS (SELECT DISTINCT lower(trim(label)) AS term FROM visual_label_terms WHERE trim(label) <> '')
     SELECT doc_id, term FROM d JOIN v ON regexp_matches(x, '(^|[^a-z0-9])' || regexp_escape(term) || '($|[^a-z0-9])') WHERE regexp_matches(term, '[a-z0-9]') UNION ALL SELECT doc_id, term FROM d JOIN v ON contains(x, term) WHERE NOT regexp_matches(term, '[a-z0-9]')""")
 def mentioned_terms(t: Tables) -> DataFrame:
-    """Terms of the fixed registry (313 rows) against every document."""
-    terms = t.visual_label_terms.select(F.lower(F.trim("label")).alias("term")).where("term <> ''").distinct()
-    return t.documents.where("text is not null").join(F.broadcast(terms), text.term_matches(F.col("text"), F.col("term"))).select("doc_id", "term")
+    """Terms of the registry against every document."""
+    return evidence.mentions(t.documents, "doc_id", "text", t.visual_label_terms.select("label"))
 
 
 _CJK = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]"
