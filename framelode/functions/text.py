@@ -170,7 +170,7 @@ def clean_answer(raw: Column) -> Column:
     t = F.regexp_replace(t, r"(?s)(<\|im_end\|>|<\|endoftext\|>|\n?==========).*$", "")
     t = F.regexp_replace(t, r"(?is)\n(Prompt|Generation|Peak memory):\s.*$", "")
     t = F.regexp_replace(F.regexp_replace(t, r"<\|[^>]+\|>", ""), r"/Users/[^\s\])}。，,;；]+", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?im)^\s*(Prompt|Files):.*$", ""), r"(?m)\s+$", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?im)^\s*(Prompt|Files):.*$", ""), r"(?m)[^\S\n]+$", "")
     return F.regexp_replace(F.regexp_replace(t, r"^\s+|\s+$", ""), "\n{3,}", "\n\n")
 
 
