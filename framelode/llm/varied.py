@@ -78,17 +78,17 @@ def varied_subset(df: DataFrame, record: str, features: str, size: int, scratch:
     base = base.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("fs"))).alias("fs"))
     coded = base.select("id", F.transform(F.filter("fs", lambda f: f.isNotNull()), lambda f: F.xxhash64(f)).alias("fs"))
     left = scratch.put(coded.withColumn("gain", F.size("fs").cast("double")), "records")
-    level, open_size, picked, mass = left.agg(F.max("gain")).first()[0] or 0.0, size, [], None
+    level, open_size, picked, mass, used = left.agg(F.max("gain")).first()[0] or 0.0, size, [], None, []
     for turn in range(ROUNDS):
         if open_size < 1 or level < 1e-6:
             break
-        old = left
         if mass is not None:
-            # Exact gains of the records that can still reach the threshold.
+            # Exact gains of the records that can still reach the threshold; this also leaves out those just taken.
             gain = F.aggregate("vs", F.lit(0.0), lambda s, m: s + F.sqrt(m + 1) - F.sqrt(m))
-            exact = attach(left.where(F.col("gain") >= level), mass.select("f", "v")).select("id", "fs", gain.alias("gain"))
+            exact = attach(left.where(F.col("gain") >= level), mass).select("id", "fs", gain.alias("gain"))
             left = scratch.put(exact.unionAll(left.where(F.col("gain") < level)), f"gains{turn}")
-            scratch.drop(old)
+            scratch.drop(*used)
+            used = [left]
         able = left.where(F.col("gain") >= level)
         total = able.count()
         if not total:
@@ -100,19 +100,16 @@ def varied_subset(df: DataFrame, record: str, features: str, size: int, scratch:
         room = F.greatest(F.coalesce("v", F.lit(0.0)) * (FALL**-2 - 1), F.lit(1.0)) / F.col("n")
         limits = scratch.put(asked.select("f", F.greatest("least", room, F.lit(open_size / (PART * total))).alias("v")), f"limits{turn}")
         judged = attach(able, limits).select("id", "fs", "gain", F.forall("vs", lambda v: u <= v).alias("taken"))
-        after = scratch.put(judged.unionAll(left.where(F.col("gain") < level).withColumn("taken", F.lit(False))), f"judged{turn}")
-        scratch.drop(left, limits)
-        take = after.where("taken").select("id", "fs", "gain", F.lit(turn).alias("round"))
+        take = scratch.put(judged.where("taken").select("id", "fs", "gain", F.lit(turn).alias("round")), f"take{turn}")
         got = take.count()
         if got > open_size:
-            take, got = take.orderBy(F.desc("gain"), u, "id").limit(open_size), open_size
-        picked.append(scratch.put(take, f"take{turn}"))
+            take, got = scratch.put(take.orderBy(F.desc("gain"), u, "id").limit(open_size), "last"), open_size
+        picked.append(take)
         open_size -= got
-        added = picked[-1].select(F.explode("fs").alias("f")).groupBy("f").agg(F.count("*").cast("double").alias("v"))
+        added = take.select(F.explode("fs").alias("f")).groupBy("f").agg(F.count("*").cast("double").alias("v"))
         before, mass = mass, scratch.put(added if mass is None else mass.unionAll(added).groupBy("f").agg(F.sum("v").alias("v")), f"mass{turn}")
-        scratch.drop(before)
-        left = after.where("not taken").select("id", "fs", "gain")
-        left._scratch_path = after._scratch_path
+        used += [limits, before] if before is not None else [limits]
+        left = judged.where("not taken").drop("taken").unionAll(left.where(F.col("gain") < level))
         level *= FALL
     if open_size > 0:
         rest = left.orderBy(F.desc("gain"), _unit(F.col("id"), 0), "id").limit(open_size)
