@@ -157,6 +157,16 @@ SELECT g AS content_sha256, max(CASE WHEN rn = 1 THEN id END) AS survivor_id, co
 """
 
 
+_UNITS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^0-9a-z_]+'), lambda x: regexp_full_match(x, 'vu_[0-9a-f]{{24}}'))"
+_GROUPS = _QUEUE.replace("WITH q", "WITH RECURSIVE q") + f"""
+, r AS (SELECT {_UNITS.format('visual_unit_id')}[1] AS u, list_concat({_UNITS.format('canonical_visual_unit_id')}, {_UNITS.format('duplicate_reverse_visual_unit_ids')}) AS named, lower({_STRIP.format('duplicate_group_id')}) AS g FROM q),
+e AS (SELECT u AS a, unnest(named) AS b FROM r WHERE u IS NOT NULL UNION SELECT u, '~' || g FROM r WHERE u IS NOT NULL AND g NOT IN ('', 'none', 'null', 'nan')),
+d AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b),
+reach AS (SELECT DISTINCT a AS n, a AS m FROM d UNION SELECT reach.n, d.b FROM reach JOIN d ON reach.m = d.a)
+SELECT n AS visual_unit_id, min(m) AS group_id FROM reach WHERE n LIKE 'vu%' AND m LIKE 'vu%' GROUP BY n HAVING count(DISTINCT m) > 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     labels = _LABELS.replace("NFKC_LABEL", _NFKC)
     return {
@@ -167,6 +177,7 @@ def oracle_sql() -> dict[str, str]:
         "p2_cooccurrence": labels + """SELECT label_a, label_b, c, a.s AS a, b.s AS b, n, round(c * n / (a.s::DOUBLE * b.s), 6) AS lift, round(log2(c * n / (a.s::DOUBLE * b.s)), 6) AS pmi
             FROM p, n, s a, s b WHERE a.x = label_a AND b.x = label_b AND c >= 5""",
         "p3_found": _FILES,
+        "p4_found": _GROUPS,
         "p6_found": _RUNS + "SELECT source_content_id, queue_type, first_candidate_id, last_candidate_id FROM e WHERE frames > 1",
         "p6_events": _RUNS + "SELECT source_content_id, queue_type, first_candidate_id, last_candidate_id, frames, duration_ms FROM e",
         "p7_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
