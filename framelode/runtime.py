@@ -38,11 +38,13 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, a temporary one, but only in local mode."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framelode-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
