@@ -28,8 +28,8 @@ def output_class(mismatch: Column, failed: Column, missing: Column, parsed: Colu
     return F.when(mismatch, "mismatch").when(failed, "failed").when(missing, "missing").when(~parsed, "parse_error").when(truncated, "truncated").otherwise("success")
 
 
-def balanced_runs(runs: DataFrame, items: DataFrame, run: str, order: str) -> DataFrame:
-    """Runs whose item count equals their planned count, newest first: the first row is the run to use."""
+def balanced_runs(runs: DataFrame, items: DataFrame, run: str) -> DataFrame:
+    """Runs that have as many items as planned, all of them good."""
     counted = items.groupBy(run).agg(F.count("*").alias("items"), F.sum(F.col("ok").cast("int")).alias("succeeded"))
     return runs.join(counted, run).where((F.col("planned") == F.col("items")) & (F.col("succeeded") == F.col("items")))
 

@@ -166,9 +166,6 @@ def runs_with_items(t: Tables) -> DataFrame:
     return t.orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_orderstatus", "items", "open_items")
 
 
-_CROSS = """WITH c AS (SELECT visual_unit_id, max(doc_id) AS doc_id FROM documents WHERE lower(trim(source)) = '{0}' AND visual_unit_id IS NOT NULL GROUP BY visual_unit_id)"""
-
-
 @query("""WITH d AS (SELECT *, lower(trim(source)) AS s FROM documents WHERE visual_unit_id IS NOT NULL),
     c AS (SELECT * FROM d WHERE doc_id IN (SELECT max(doc_id) FROM d WHERE s = 'qwenvl_caption' GROUP BY visual_unit_id)), o AS (SELECT * FROM d WHERE doc_id IN (SELECT max(doc_id) FROM d WHERE s = 'ocr_text' GROUP BY visual_unit_id))
     SELECT c.visual_unit_id, c.doc_id AS caption_doc, o.doc_id AS ocr_doc, concat_ws('|', CASE WHEN c.source_content_id IS DISTINCT FROM o.source_content_id THEN 'source' END, CASE WHEN c.time_position_ms IS DISTINCT FROM o.time_position_ms THEN 'time' END) AS mismatches

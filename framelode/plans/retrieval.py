@@ -309,7 +309,7 @@ def queue_validation(t: Tables) -> DataFrame:
 def complete_runs(t: Tables) -> DataFrame:
     items = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_linestatus") == "F").alias("ok"))
     runs = t.orders.select("o_orderkey").join(items.groupBy("o_orderkey").agg(F.count("*").alias("planned")), "o_orderkey")
-    return audit.balanced_runs(runs, items, "o_orderkey", "o_orderkey").select("o_orderkey", "items")
+    return audit.balanced_runs(runs, items, "o_orderkey").select("o_orderkey", "items")
 
 
 @query(f"""WITH {FRAMES} SELECT (SELECT count(*) FROM source_assets) AS assets, (SELECT coalesce(sum(size_bytes), 0)::BIGINT FROM source_assets) AS bytes, (SELECT count(*) FROM f) AS frames, (SELECT count(DISTINCT src) FROM f) AS sources, (SELECT count(*) FROM documents) AS documents""")
