@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelode.functions import text, times, vectors
@@ -251,12 +251,31 @@ _PAIRS = f"""WITH {FRAMES}, {LABELS}, r AS (SELECT *, row_number() OVER (PARTITI
     e AS (SELECT *, round(greatest(0.1, least(0.95, CASE step WHEN 1 THEN 0.85::DOUBLE WHEN 2 THEN 0.75::DOUBLE ELSE 0.65::DOUBLE END + CASE WHEN overlap <= 1 THEN -0.05::DOUBLE WHEN overlap >= 3 THEN 0.03::DOUBLE ELSE 0 END)), 3) AS confidence FROM i)"""
 
 
+#: Signs that occur inside too many other words to be a mention by themselves.
+AMBIGUOUS = ("人", "车")
+
+
+def _label_terms(t: Tables) -> DataFrame:
+    """``label, term`` of every label that a unit has: its own spelling, and what the registry lists for its normal form.
+
+    The registry is found by NFKC, lower case and single blanks for ``_`` and ``-``, so each spelling of a label has all of its terms.
+    """
+    normal = lambda c: F.trim(F.regexp_replace(F.lower(text.nfkc(F.col(c))), r"(?U)[\s_-]+", " "))
+    listed = F.coalesce(F.from_json("search_terms_json", "array<string>"), F.array().cast("array<string>"))
+    registry = t.visual_label_terms.select(normal("label").alias("n"), F.explode(F.concat(F.array("label", "label_zh"), listed)).alias("term")).where("n <> ''")
+    known = t.labels.select("label").distinct()
+    every = known.withColumn("n", normal("label")).join(registry, "n").select("label", "term").unionAll(known.select("label", F.col("label").alias("term")))
+    return every.select("label", _squeezed("term").alias("term")).where((F.col("term") != "") & ~F.col("term").isin(*AMBIGUOUS)).distinct()
+
+
+def _squeezed(c: str) -> Column:
+    return F.trim(F.regexp_replace(F.lower(c), r"(?U)[\s\x1c-\x1f]+", " "))
+
+
 def _propagated(t: Tables) -> DataFrame:
-    """Texts meet labels by an equi-join on the label's first word; the whole term is then tested."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
-    named = t.labels.where(F.col("label").rlike("^[a-z][a-z ]*$")).select("label").distinct()
-    own = t.documents.where("visual_unit_id is not null and text is not null").select(F.col("visual_unit_id").alias("unit"), F.explode(F.array_distinct(words)).alias("word"), "text")
-    met = own.join(named.withColumn("word", F.regexp_extract("label", "[a-z0-9]+", 0)), "word").where(text.term_matches(F.col("text"), F.col("label")))
+    """Only labels of a text's own unit can leave it, so texts meet these by an equi-join on the unit; then each of their terms is tested."""
+    own = t.documents.where("visual_unit_id is not null and text is not null").select(F.col("visual_unit_id").alias("unit"), _squeezed("text").alias("text"))
+    met = own.join(t.labels, "unit").join(_label_terms(t), "label").where(text.term_matches(F.col("text"), F.col("term")))
     return evidence.propagate(evidence.neighbours(t.frames, "src", "t", "id"), met.select("unit", "label").distinct(), t.labels)
 
 
