@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelode.functions import text, times, vectors
-from framelode.operators import audit, evidence, greedy, identity, search, selection, tables, windows
+from framelode.operators import audit, components, evidence, greedy, identity, search, selection, tables, windows
 from framelode.plans.base import FILES, FRAMES, LABELS, QUEUE, Tables, query
 from framelode.plans.texts import STRIP
 
@@ -160,9 +160,18 @@ def similar_vectors(t: Tables) -> DataFrame:
 
 @query()
 def identity_clusters(t: Tables) -> DataFrame:
-    """Vectors of one label, merged where centroids stay similar. Labels stand for the components of the edge graph."""
-    nodes = t.embeddings.select("vec_id", "label", F.concat_ws("-", "label", (F.col("vec_id") % 7).cast("string")).alias("unit"), "embedding")
-    return greedy.constrained_clusters(nodes, "label", "vec_id", "unit", "embedding", 0.5)
+    """All vectors, merged where centroids stay similar, in each component of the graph of all pairs of at least 0.5.
+
+    The pairs are found exactly, in blocks. They are taken a little below the limit, as rounding differs by block; the merge tests the limit itself.
+    """
+    from framelode.runtime import Scratch
+
+    scratch = Scratch(t.spark, "identity")
+    nodes = t.embeddings.select("vec_id", F.concat_ws("-", "label", (F.col("vec_id") % 7).cast("string")).alias("unit"), "embedding")
+    edges = identity.scan_queries(nodes, nodes, "vec_id", "embedding", 0.5 - 1e-9).where("query < item").select(F.col("query").alias("a"), F.col("item").alias("b"))
+    found = components.connected_components(edges, scratch=scratch).select(F.col("node").alias("vec_id"), F.col("label").alias("component"))
+    placed = nodes.join(found, "vec_id", "left").withColumn("component", F.coalesce("component", "vec_id"))
+    return greedy.constrained_clusters(placed, "component", "vec_id", "unit", "embedding", 0.5)
 
 
 @query(f"""WITH {FRAMES}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY t, id) - 1 AS rank, count(*) OVER (PARTITION BY src) AS n FROM f), m AS (SELECT *, least(n, greatest(1, ceil(round(n * 0.15::DOUBLE, 6))::BIGINT)) AS bins FROM r), b AS (SELECT *, (rank * bins + bins - 1) // n AS bin FROM m)

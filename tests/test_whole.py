@@ -29,3 +29,12 @@ def test_every_term_of_the_registry_is_a_mention(spark, tmp_path):
     assert got == sorted([("f0", "f1", x) for x in ("car", "ｔｒｕｃｋ", "red-lantern", "kite2")] + [("f1", "f0", x) for x in ("car", "person")])
     targets = {r.target: r.labels for r in registry.queries()["propagation_targets"](spark, d).collect()}
     assert targets == {"f1": "car|kite2|red-lantern|ｔｒｕｃｋ", "f0": "car|person"}
+
+
+def test_clusters_join_vectors_of_different_labels(spark, tmp_path):
+    rows = [(1, [1.0, 0.0, 0.0], "car"), (2, [0.9, 0.1, 0.0], "bus"), (3, [0.0, 1.0, 0.0], "car"), (4, [0.0, 0.0, 1.0], "sky"), (5, [0.8, 0.0, 0.1], "car"), (8, [1.0, 0.0, 0.05], "car")]
+    d = put(spark, tmp_path, embeddings=(rows, "vec_id long, embedding array<float>, label string"))
+    got = {r.vec_id: r.cluster for r in registry.queries()["identity_clusters"](spark, d).collect()}
+    # 1 and 8 are of one unit (their label and vec_id % 7) and stay apart
+    assert got[3] == 3 and got[4] == 4 and got[1] != got[8] and sorted(got) == [1, 2, 3, 4, 5, 8]
+    assert got[2] in (got[1], got[8]) and got[5] in (got[1], got[8])
