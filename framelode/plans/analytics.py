@@ -9,6 +9,9 @@ from framelode.functions import hashing
 from framelode.operators import aggregates, audit, windows
 from framelode.plans.base import FILES, FRAMES, LABELS, QUEUE, Tables, query
 
+#: Bands into which the span of a source is cut.
+BANDS = 3
+
 W = "WINDOW w AS (PARTITION BY src ORDER BY t, id)"
 
 
@@ -232,6 +235,8 @@ def local_best(t: Tables) -> DataFrame:
 
 @query(f"""WITH {FRAMES}, b AS (SELECT unnest([0, 60000, 120000]) AS low) SELECT src, low, max_by(id, (std, -t, id)) AS id FROM f JOIN b ON t BETWEEN low AND low + 60000 GROUP BY src, low""")
 def best_in_bands(t: Tables) -> DataFrame:
-    """Bands share their ends, so a frame on one counts in both."""
-    bands = t.frames.withColumn("low", F.explode(F.array(F.lit(0), F.lit(60_000), F.lit(120_000)))).where("t between low and low + 60000")
-    return bands.groupBy("src", "low").agg(F.max_by("id", F.struct(F.col("std"), -F.col("t"), F.col("id"))).alias("id"))
+    """The span of a source, from its first to its last frame, in BANDS equal bands. They share their ends, so a frame on one counts in both."""
+    span = t.frames.groupBy("src").agg(F.min("t").alias("first"), F.greatest(F.lit(1), F.max("t") - F.min("t")).alias("span"))
+    end = lambda k: F.col("first") + F.col("span") * k / F.lit(float(BANDS))
+    bands = t.frames.join(span, "src").withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).withColumn("low", end(F.col("band"))).where((F.col("t") >= F.col("low")) & (F.col("t") <= end(F.col("band") + 1)))
+    return bands.groupBy("src", "band", "low").agg(F.max_by("id", F.struct(F.col("std"), -F.col("t"), F.col("id"))).alias("id")).select("src", "low", "id")

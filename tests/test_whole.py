@@ -38,3 +38,18 @@ def test_clusters_join_vectors_of_different_labels(spark, tmp_path):
     # 1 and 8 are of one unit (their label and vec_id % 7) and stay apart
     assert got[3] == 3 and got[4] == 4 and got[1] != got[8] and sorted(got) == [1, 2, 3, 4, 5, 8]
     assert got[2] in (got[1], got[8]) and got[5] in (got[1], got[8])
+
+
+def test_bands_span_each_source(spark, tmp_path):
+    rows = [(f"f{t}", "s", t, 1.0, float(t % 7), 0) for t in range(1000, 400_000, 9000)] + [("one", "r", 500_000, 1.0, 1.0, 0)]
+    d = put(spark, tmp_path, visual_units=(rows, UNITS))
+    got = rows_of(registry.queries()["best_in_bands"](spark, d))
+    want = []
+    for s in ("r", "s"):
+        own = [x for x in rows if x[1] == s]
+        first, span = min(x[2] for x in own), max(1, max(x[2] for x in own) - min(x[2] for x in own))
+        for b in range(3):
+            low, high = first + span * b / 3, first + span * (b + 1) / 3
+            if band := [x for x in own if low <= x[2] <= high]:
+                want.append((s, low, max(band, key=lambda x: (x[4], -x[2], x[0]))[0]))
+    assert got == sorted(want) and len(got) == 4
