@@ -22,9 +22,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    """Every pair seen at least five times, with lift and pointwise mutual information to six places."""
+    """Every pair seen together, with lift and pointwise mutual information to six places."""
     rows = table(spark, d, LABELS).select("visual_unit_id", cooccur.normal_label_column(F.col("label")).alias("label"))
-    pairs = cooccur.cooccurrence(rows, "visual_unit_id", "label", min_count=5)
+    pairs = cooccur.cooccurrence(rows, "visual_unit_id", "label", min_count=1)
     return pairs.select(F.col("item_a").alias("label_a"), F.col("item_b").alias("label_b"), "c", "a", "b", "n", F.round("lift", 6).alias("lift"), F.round("pmi", 6).alias("pmi"))
 
 

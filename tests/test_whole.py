@@ -53,3 +53,12 @@ def test_bands_span_each_source(spark, tmp_path):
             if band := [x for x in own if low <= x[2] <= high]:
                 want.append((s, low, max(band, key=lambda x: (x[4], -x[2], x[0]))[0]))
     assert got == sorted(want) and len(got) == 4
+
+
+def test_a_pair_seen_once_is_reported(spark, tmp_path):
+    from framelode.llm import registry as llm
+
+    labels = [(f"u{i}", x) for i in range(3) for x in ("a", "b")] + [("v", "a"), ("v", "rare"), ("w", "b")]
+    d = put(spark, tmp_path, yolo_visual_unit_label=(labels, "visual_unit_id string, label string"))
+    got = rows_of(llm.queries()["p2_cooccurrence"](spark, d).select("label_a", "label_b", "c", "a", "b", "n"))
+    assert got == [("a", "b", 3, 4, 4, 5), ("a", "rare", 1, 4, 1, 5)] and llm.queries()["p2_found"](spark, d).count() == 0
