@@ -13,15 +13,17 @@ shuffle; a group with any number of records is never gathered in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelode.llm.cleaning import latest, strip
 from framelode.runtime import Scratch
 
-#: Dominance layers that are peeled one by one; fields still open then are filled by the lexicographic policy.
+#: Dominance layers that are peeled one by one; the layers of what is left then are numbered in one ordered pass.
 LAYERS = 6
 
 
@@ -66,6 +68,30 @@ def _filler(i: int) -> Column:
     return F.get(F.filter("front", lambda x: x[f"f{i}"].isNotNull()), 0)[f"f{i}"]
 
 
+def _numbered(points: DataFrame) -> DataFrame:
+    """``g, t, c, at`` with ``layer``, the dominance layer of each among the points of its group.
+
+    A point's layer is one more than the last among the points that dominate it. From the newest on, with higher trust and
+    completeness first at equal times, those all come before it, and of each cell only its last layer so far need be kept.
+    A group passes through one task row by row, and never lies in its memory.
+    """
+    kind = points.schema["g"].dataType.simpleString()
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, last = None, {}
+        for rows in batches:
+            layers = []
+            for g, t, c in zip(rows["g"], rows["t"], rows["c"], strict=True):
+                if g != group:
+                    group, last = g, {}
+                last[t, c] = layer = 1 + max((n for (u, d), n in last.items() if u >= t and d >= c), default=0)
+                layers.append(layer)
+            yield rows.assign(layer=layers)
+
+    ordered = points.select("g", "t", "c", F.unix_micros("at").alias("us")).distinct().repartition("g").sortWithinPartitions("g", F.desc("us"), F.desc("t"), F.desc("c"))
+    return ordered.mapInPandas(number, f"g {kind}, t int, c int, us bigint, layer bigint")
+
+
 def survivors(df: DataFrame, policy: Policy, scratch: Scratch | None = None) -> DataFrame:
     """``group, survivor, members`` and, for each field, its value and the record it came from (``<field>_from``).
 
@@ -75,8 +101,8 @@ def survivors(df: DataFrame, policy: Policy, scratch: Scratch | None = None) ->
     * A null recency is the earliest; a null trust the lowest. Null, blank and ``[]``
       fields are not filled; a field that no member fills is null, as is its source.
     * Of records equal in trust, completeness and recency the smallest id comes first.
-    * The survivor's own filled fields stay; others are taken from dominance layers one
-      to LAYERS (within a layer by the policy), and beyond them by the policy alone.
+    * The survivor's own filled fields stay; others are taken from the first dominance
+      layer that fills them, within a layer by the policy.
     * An empty table gives no rows. Working columns don't clash with the table's.
     """
     scratch = scratch or Scratch(df.sparkSession, "survivors")
@@ -116,8 +142,9 @@ def survivors(df: DataFrame, policy: Policy, scratch: Scratch | None = None) ->
             found = front.select("g", *[_filler(i).alias(f"n{i}") for i in range(n)])
             fronts = front.select("g", F.transform("front", lambda x: F.struct(x["t"].alias("t"), x["c"].alias("c"), x["at"].alias("at"))).alias("front"))
         else:
-            best = F.struct(-F.col("t"), -F.col("c"), -F.unix_micros("at"), F.col("id"))
-            found = rest.groupBy("g").agg(*[F.min_by(F.struct("id", f"v{i}"), F.when(F.col(f"v{i}").isNotNull(), best)).alias(f"n{i}") for i in range(n)])
+            layers = _numbered(rest)
+            best = F.struct("layer", -F.col("t"), -F.col("c"), -F.col("us"), F.col("id"))
+            found = rest.withColumn("us", F.unix_micros("at")).join(layers, ["g", "t", "c", "us"]).groupBy("g").agg(*[F.min_by(F.struct("id", f"v{i}"), F.when(F.col(f"v{i}").isNotNull(), best)).alias(f"n{i}") for i in range(n)])
         state = scratch.put(state.join(found, "g", "left").select("g", "members", "survivor", *[f"any{i}" for i in range(n)], *[F.coalesce(f"f{i}", f"n{i}").alias(f"f{i}") for i in range(n)]), f"filled{layer}")
         if layer > LAYERS:
             break
