@@ -78,7 +78,6 @@ _BREAK = re.compile("\r\n|[\n\r\v\f\x85\u2028\u2029]")
 _REPEAT = re.compile(r"(.)\1+")
 _MARKS = re.compile("[" + re.escape("".join(sorted(_MARK))) + "]")
 _THAI = re.compile("[ก-๿]")
-_LISTED = re.compile(r"\d{1,3}|[A-Za-z]")
 
 _BLANK, _LINE, _PARAGRAPH = 1, 2, 3
 _WORD, _ENDING, _OTHER, _STOP, _NOTHING = range(5)
@@ -108,19 +107,34 @@ class Items(dict):
 
     #: Tokens after which the numbers start afresh.
     MOST = 500_000
-    KINDS = (np.uint64, np.uint64, np.int32, np.int32, np.int8, np.int8, bool, bool, bool, bool, bool, bool)
+    KINDS = (np.int32, np.int8, np.int32, bool, np.uint64, np.uint64, np.int8, bool, bool, bool, bool, bool)
 
     def __init__(self):
         super().__init__()
         self.rows: list[tuple] = []
         self.table: list[np.ndarray] = []
+        self.leads: dict[str, tuple] = {"": (0, 0), " ": (1, _BLANK)}
+        self.forms: dict[str, tuple] = {}
 
     def __missing__(self, item: str) -> int:
         at = self[item] = len(self.rows)
         body = item.lstrip()
-        lead = len(item) - len(body)
+        blanks = item[: len(item) - len(body)]
+        lead = self.leads.get(blanks)
+        if lead is None:
+            breaks = len(_BREAK.findall(blanks))
+            lead = self.leads[blanks] = (len(blanks), _PARAGRAPH if breaks > 1 else _LINE if breaks else _BLANK)
+        # Numbers are many and all alike.
+        number = _DIGITS.sub("0", body)
+        form = self.forms.get(number)
+        if form is None:
+            form = self.forms[number] = self._form(number)
+        self.rows.append((*lead, len(item), len(body) == 1 and body.isascii() and body.isalpha() or number == "0" and len(body) <= 3 and body.isdigit(), *form))
+        return at
+
+    @staticmethod
+    def _form(body: str) -> tuple:
         plain = body if body.isascii() and body.isprintable() else _NOISE.sub("", body)
-        breaks = 0 if lead == 0 or item[:lead] == " " else len(_BREAK.findall(item[:lead]))
         if body == _BAR:
             kind = _STOP
         elif not plain:
@@ -130,14 +144,10 @@ class Items(dict):
         elif len(plain) == 1 and not plain.isalnum():
             kind = _OTHER
         else:
-            kind, plain = _WORD, _DIGITS.sub("0", plain if plain.isascii() else unicodedata.normalize("NFKC", plain))
+            kind, plain = _WORD, plain if plain.isascii() else _DIGITS.sub("0", unicodedata.normalize("NFKC", plain))
         digest = int.from_bytes(hashlib.blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         thai = (_THAI.match(plain[0]) is not None, _THAI.match(plain[-1]) is not None) if plain and not plain.isascii() else (False, False)
-        self.rows.append((
-            digest, _shape(plain, kind) if plain else 0, lead, len(item), _PARAGRAPH if breaks > 1 else _LINE if breaks else _BLANK if lead else 0, kind,
-            body in _MARK, body in _CLOSER, *thai, _LISTED.fullmatch(body) is not None, body in ")．" or body == ".",
-        ))
-        return at
+        return digest, _shape(plain, kind) if plain else 0, kind, body in _MARK, body in _CLOSER, *thai, body in ")．" or body == "."
 
     def known(self) -> list[np.ndarray]:
         have = len(self.table[0]) if self.table else 0
@@ -179,7 +189,7 @@ class Lattice:
         joined = _BAR.join(texts) + _BAR
         found = _ITEM.findall(joined)
         ids = np.fromiter(map(items.__getitem__, found), np.int32, len(found))
-        digest, look, lead, size, breaks, kind, mark, closer, thai_first, thai_last, listed, list_mark = items.known()
+        lead, breaks, size, listed, digest, look, kind, mark, closer, thai_first, thai_last, list_mark = items.known()
         ends = np.cumsum(size[ids], dtype=np.int64)
         kinds, lead_break = kind[ids], breaks[ids]
         stop = kinds == _STOP
@@ -401,9 +411,12 @@ class Model:
         """Of the gaps after tokens ``g``, in order: the posterior of a boundary."""
         word = at.kind[g] == _WORD
         m, w = np.flatnonzero(~word), np.flatnonzero(word)
-        apart, joined = np.zeros(len(g)), np.zeros(len(g))  # given that the gap before is a boundary, or isn't
+        beside = np.append(False, g[1:] == g[:-1] + 1)[: len(g)]
+        joined = np.zeros(len(g))  # P(boundary), given that the gap before is none
         joined[m] = self.boundary(at.histories(g[m]))
-        apart[m] = self.boundary(at.histories(g[m], after_boundary=True))
+        apart = joined.copy()  # given that it is one
+        n = m[beside[m]]
+        apart[n] = self.boundary(at.histories(g[n], after_boundary=True))
         if len(w):
             x = g[w]
             weight = np.where(at.plain[x], 1.0, self.unmarked)
@@ -413,7 +426,7 @@ class Model:
         alone = joined * odds / (joined * odds + 1 - joined)
         other = apart * odds / (apart * odds + 1 - apart)
         likely = np.maximum(alone, other) > SLIGHT
-        tied = np.append(False, (g[1:] == g[:-1] + 1) & likely[1:] & likely[:-1])[: len(g)]
+        tied = beside & likely & np.append(False, likely[:-1])[: len(g)]
         begins = np.flatnonzero(tied & ~np.append(False, tied[:-1])) - 1
         ends = np.flatnonzero(tied & ~np.append(tied[1:], False))
         for a, z in zip(begins.tolist(), ends.tolist(), strict=True):
