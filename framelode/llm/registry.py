@@ -35,22 +35,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return far.select(F.col("item_a").alias("label_a"), F.col("item_b").alias("label_b"))
 
 
-def _survivors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _survivors(spark: SparkSession, d: str, recent: tuple[str, ...] = ()) -> DataFrame:
     scratch = Scratch(spark, "files")
-    groups = scratch.put(survivors.content_groups(table(spark, d, "source_file_records"), scratch), "groups")
-    return survivors.survivors(groups, survivors.content_policy(), scratch), groups
+    return survivors.survivors(survivors.content_groups(table(spark, d, "source_file_records"), scratch), survivors.content_policy(recent), scratch)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    best, groups = _survivors(spark, d)
-    tags = survivors.tags_source(groups)
-    named = best.join(tags, "content_hash", "left")
-    return named.select(F.col("content_hash").alias("content_sha256"), F.col("survivor").alias("survivor_id"), F.coalesce("tags_from_id", F.lit("")).alias("tags_from_id"))
+    """Survivors, and the most recent tags: no field is filled by layer here."""
+    best = _survivors(spark, d, survivors.HASH_FIELDS)
+    return best.select(F.col("content_hash").alias("content_sha256"), F.col("survivor").alias("survivor_id"), F.coalesce("finder_tags_json_from", F.lit("")).alias("tags_from_id"))
 
 
 def p3_filled(spark: SparkSession, d: str) -> DataFrame:
     """The surviving record of each content group, fields filled from successive dominance layers."""
-    return _survivors(spark, d)[0]
+    return _survivors(spark, d)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

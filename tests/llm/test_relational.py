@@ -73,6 +73,16 @@ def test_cooccurrence_matches_brute_force(spark):
     assert cooccur.cooccurrence(df.limit(0), "u", "x").count() == 0
 
 
+def test_a_pair_seen_once_is_reported(spark, tmp_path):
+    from framelode.llm import registry as llm
+
+    labels = [(f"u{i}", x) for i in range(3) for x in ("a", "b")] + [("v", "a"), ("v", "rare"), ("w", "b")]
+    spark.createDataFrame(labels, "visual_unit_id string, label string").write.parquet(f"{tmp_path}/yolo_visual_unit_label.parquet")
+    d = str(tmp_path)
+    got = rows_of(llm.queries()["p2_cooccurrence"](spark, d).select("label_a", "label_b", "c", "a", "b", "n"))
+    assert got == [("a", "b", 3, 4, 4, 5), ("a", "rare", 1, 4, 1, 5)] and llm.queries()["p2_found"](spark, d).count() == 0
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components_match_union_find(spark, seed):
     r = random.Random(seed)
@@ -147,9 +157,63 @@ def test_survivors_match_layers(spark, seed):
         x = got[f"{g:064x}"]
         assert (x.survivor, x.members) == (first[0], len(own))
         for k, name in enumerate(survivors.HASH_FIELDS):
-            source = first[0] if full(first[4 + k]) else next((y[1][0] for layer in layers[: survivors.LAYERS] for y in sorted(layer, key=policy) if full(y[1][4 + k])), None)
-            if source or len(layers) <= survivors.LAYERS:
-                assert x[f"{name}_from"] == source
+            source = first[0] if full(first[4 + k]) else next((y[1][0] for layer in layers for y in sorted(layer, key=policy) if full(y[1][4 + k])), None)
+            assert x[f"{name}_from"] == source
+    recent = {x.content_hash: x for x in survivors.survivors(groups, survivors.content_policy(("stem_key",)), scratch).collect()}
+    for g, x in recent.items():
+        order = sorted(((old - (d[9] or old), d[0]) for d in data if d[1] == g and full(d[7])))
+        assert x.stem_key_from == (order[0][1] if order else None) and x.size_bytes_from == got[g].size_bytes_from
+
+
+def test_fields_are_filled_by_layer_at_any_depth(spark):
+    from datetime import datetime, timedelta
+
+    from framelode.runtime import Scratch
+
+    at = lambda k: datetime(2026, 1, 1) + timedelta(days=k)
+    row = lambda g, i, fields, k, role=None: (f"g{g}r{i:02d}", f"{g:064x}", role, None, *fields, at(k))
+    data = [row(0, k, (1, 1, 1, "s", None), k) for k in (20, 19, 18, 17, 16, 15, 14, 13)]
+    data += [row(0, 90, (1, None, None, None, '["new"]'), 14), row(0, 91, (1, 1, 1, None, '["old"]'), 12)]
+    r = random.Random(4)
+    for g in (1, 2, 3):
+        for i in range(60):
+            late = i >= 40
+            data.append(row(g, i, (*(r.choice([None, 1]) for _ in range(3)), r.choice(["s", None]) if late else None, r.choice(['["t"]', None]) if late else None), 60 - i // 2, r.choice(["canonical", None]) if g < 3 else None))
+    scratch = Scratch(spark, "t")
+    groups = survivors.content_groups(spark.createDataFrame(data, F3), scratch)
+    got = {x.content_hash: x for x in survivors.survivors(groups, survivors.content_policy(), scratch).collect()}
+    assert got[f"{0:064x}"].finder_tags_json == '["new"]'
+    for g in range(4):
+        own = [d for d in data if d[1] == f"{g:064x}"]
+        key = lambda d: (int(d[2] == "canonical"), sum(x is not None for x in d[4:9]), d[9])
+        policy = lambda x: (-x[0][0], -x[0][1], -x[0][2].timestamp(), x[1][0])
+        layers = [sorted(layer, key=policy) for layer in _layers([(key(d), d) for d in own])]
+        assert len(layers) > 6
+        for k, name in enumerate(survivors.HASH_FIELDS):
+            order = [layers[0][0], *(x for layer in layers for x in layer)]
+            assert got[f"{g:064x}"][f"{name}_from"] == next((d[0] for _, d in order if d[4 + k] is not None), None)
+
+
+@pytest.mark.parametrize("parts", [1, 5, 16])
+def test_layers_of_a_hot_group_are_numbered_over_ranges(spark, parts):
+    from framelode.runtime import Scratch
+
+    r = random.Random(parts)
+    data = [("hot" if r.random() < 0.8 else r.choice(["a", "b"]), r.randrange(2), r.randrange(4), r.randrange(300), r.random() < 0.3) for _ in range(900)]
+    df = spark.createDataFrame(data, "g string, t int, c int, ago long, asked boolean").groupBy("g", "t", "c", "ago").agg(F.max("asked").alias("asked"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = {tuple(x)[:4]: x.layer for x in survivors._layers(df, [(t, c) for t in range(2) for c in range(4)], Scratch(spark, "t")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {}
+    for g in ("hot", "a", "b"):
+        for i, layer in enumerate(_layers([((t, c, -ago), (h, t, c, ago)) for h, t, c, ago in {d[:4] for d in data} if h == g])):
+            want |= {x[1]: i + 1 for x in layer}
+    asked = {d[:4] for d in data if d[4]}
+    assert got == {x: want[x] for x in asked} and max(got.values()) > 20
 
 
 def test_hashes_and_lent_hashes(spark):
