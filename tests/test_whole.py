@@ -53,44 +53,3 @@ def test_bands_span_each_source(spark, tmp_path):
             if band := [x for x in own if low <= x[2] <= high]:
                 want.append((s, low, max(band, key=lambda x: (x[4], -x[2], x[0]))[0]))
     assert got == sorted(want) and len(got) == 4
-
-
-def test_a_pair_seen_once_is_reported(spark, tmp_path):
-    from framelode.llm import registry as llm
-
-    labels = [(f"u{i}", x) for i in range(3) for x in ("a", "b")] + [("v", "a"), ("v", "rare"), ("w", "b")]
-    d = put(spark, tmp_path, yolo_visual_unit_label=(labels, "visual_unit_id string, label string"))
-    got = rows_of(llm.queries()["p2_cooccurrence"](spark, d).select("label_a", "label_b", "c", "a", "b", "n"))
-    assert got == [("a", "b", 3, 4, 4, 5), ("a", "rare", 1, 4, 1, 5)] and llm.queries()["p2_found"](spark, d).count() == 0
-
-
-def test_fields_are_filled_by_layer_at_any_depth(spark):
-    import random
-    from datetime import datetime, timedelta
-
-    from framelode.llm import survivors
-    from framelode.runtime import Scratch
-    from tests.llm.test_relational import F3, _layers
-
-    at = lambda k: datetime(2026, 1, 1) + timedelta(days=k)
-    row = lambda g, i, fields, k, role=None: (f"g{g}r{i:02d}", f"{g:064x}", role, None, *fields, at(k))
-    data = [row(0, k, (1, 1, 1, "s", None), k) for k in (20, 19, 18, 17, 16, 15, 14, 13)]
-    data += [row(0, 90, (1, None, None, None, '["new"]'), 14), row(0, 91, (1, 1, 1, None, '["old"]'), 12)]
-    r = random.Random(4)
-    for g in (1, 2, 3):
-        for i in range(60):
-            late = i >= 40
-            data.append(row(g, i, (*(r.choice([None, 1]) for _ in range(3)), r.choice(["s", None]) if late else None, r.choice(['["t"]', None]) if late else None), 60 - i // 2, r.choice(["canonical", None]) if g < 3 else None))
-    scratch = Scratch(spark, "t")
-    groups = survivors.content_groups(spark.createDataFrame(data, F3), scratch)
-    got = {x.content_hash: x for x in survivors.survivors(groups, survivors.content_policy(), scratch).collect()}
-    assert got[f"{0:064x}"].finder_tags_json == '["new"]'
-    for g in range(4):
-        own = [d for d in data if d[1] == f"{g:064x}"]
-        key = lambda d: (int(d[2] == "canonical"), sum(x is not None for x in d[4:9]), d[9])
-        policy = lambda x: (-x[0][0], -x[0][1], -x[0][2].timestamp(), x[1][0])
-        layers = [sorted(layer, key=policy) for layer in _layers([(key(d), d) for d in own])]
-        assert len(layers) > survivors.LAYERS
-        for k, name in enumerate(survivors.HASH_FIELDS):
-            order = [layers[0][0], *(x for layer in layers for x in layer)]
-            assert got[f"{g:064x}"][f"{name}_from"] == next((d[0] for _, d in order if d[4 + k] is not None), None)
