@@ -58,7 +58,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
     rows = cleaning.latest_candidates(table(spark, d, QUEUE), ["candidate_id", "source_content_id", "labels", "generic_label_categories"])
-    return rows.select("candidate_id", varied.queue_features("labels", "generic_label_categories", "source_content_id").alias("features"))
+    return rows.select("candidate_id", "source_content_id", varied.queue_features("labels", "generic_label_categories", "source_content_id").alias("features"))
 
 
 def p5_varied(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,7 @@ def p5_varied(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "varied")
     rows = scratch.put(_features(spark, d), "features")
     size = -(-rows.count() * round(VARIED_SHARE * 100) // 100)
-    return varied.varied_subset(rows, "candidate_id", "features", size, scratch=scratch).select("candidate_id", "round", F.round("gain", 6).alias("gain"))
+    return varied.varied_subset(rows, "candidate_id", "features", size, near="source_content_id", scratch=scratch).select("candidate_id", "round", F.round("gain", 6).alias("gain"))
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:

@@ -232,44 +232,90 @@ def test_hashes_and_lent_hashes(spark):
     assert survivors.survivors(survivors.content_groups(empty, Scratch(spark, "t")), survivors.content_policy()).count() == 0
 
 
+def _greedy(data, size):
+    """Plain greedy: always the record with the highest gain."""
+    mass, chosen, total = {}, [], 0.0
+    left = set(data)
+    for _ in range(size):
+        gain = lambda r: sum((mass.get(f, 0) + m) ** 0.5 - mass.get(f, 0) ** 0.5 for f, m in data[r].items())
+        best = max(sorted(left), key=gain)
+        total += gain(best)
+        chosen.append(best)
+        left.discard(best)
+        for f, m in data[best].items():
+            mass[f] = mass.get(f, 0) + m
+    return chosen, total
+
+
 def _value(picked, data):
     mass = {}
     for p in picked:
-        for f in set(data[p] or ()):
-            mass[f] = mass.get(f, 0) + 1
+        for f, m in data[p].items():
+            mass[f] = mass.get(f, 0) + m
     return sum(m**0.5 for m in mass.values())
 
 
-def test_varied_subset_nears_greedy(spark):
-    r = random.Random(5)
-    data = {f"r{i:04d}": [f"s{0 if r.random() < 0.4 else r.randrange(60)}"] + [f"l{int(r.paretovariate(0.7))}" for _ in range(r.randrange(5))] for i in range(1500)}
-    df = spark.createDataFrame(list(data.items()), "id string, fs array<string>").withColumn("gain", F.lit("clash"))
-    got = [x[0] for x in varied.varied_subset(df, "id", "fs", 60).select("id").collect()]
-    assert len(got) == len(set(got)) == 60
-    greedy, left = [], set(data)
-    while len(greedy) < 60:
-        now = _value(greedy, data)
-        best = max(sorted(left)[:: max(1, len(left) // 200)], key=lambda x: _value([*greedy, x], data) - now)
-        greedy.append(best)
-        left.discard(best)
-    assert _value(got, data) >= 0.85 * _value(greedy, data)
-    assert _value(got, data) > 1.2 * _value(sorted(data)[:60], data)
+def _records(spark, seed, n):
+    r = random.Random(seed)
+    data = {}
+    for i in range(n):
+        source = f"s{0 if r.random() < 0.35 else r.randrange(60)}"
+        data[f"r{i:04d}"] = {source: 1.0} | {f"l{int(r.paretovariate(0.7))}": float(r.randint(1, 4)) for _ in range(r.randrange(5))}
+    rows = [(k, list(v.items()), next(iter(v)), "clash") for k, v in data.items()]
+    return data, spark.createDataFrame(rows, "id string, fs array<struct<name:string,mass:double>>, source string, gain string")
+
+
+def test_one_block_is_plain_greedy(spark):
+    data, df = _records(spark, 5, 400)
+    got = [x[0] for x in varied.varied_subset(df, "id", "fs", 40, near="source").select("id").collect()]
+    assert len(set(got)) == 40 and _value(got, data) == pytest.approx(_greedy(data, 40)[1], rel=0.005)  # equal gains are resolved in another order
+
+
+@pytest.mark.parametrize("size", [60, 300])
+def test_blocks_near_plain_greedy(spark, monkeypatch, size):
+    monkeypatch.setattr(varied, "BLOCK_ROWS", 150)
+    data, df = _records(spark, 6, 1500)
+    picked = {m: sorted(tuple(x) for x in varied.varied_subset(df, "id", "fs", size, near="source", most_sent=m).collect()) for m in (10**6, 3)}
+    assert [x[:2] for x in picked[10**6]] == [x[:2] for x in picked[3]]  # sent or joined
+    got = [x[0] for x in picked[3]]
+    assert len(got) == len(set(got)) == size
+    assert _value(got, data) >= 0.95 * _greedy(data, size)[1] and _value(got, data) > 1.2 * _value(sorted(data)[:size], data)
+    assert varied.coverage(df, "id", "fs", spark.createDataFrame([(x,) for x in got], "id string")).first().value == pytest.approx(_value(got, data))
+
+
+def test_all_records_are_taken_if_asked_for(spark, monkeypatch):
+    monkeypatch.setattr(varied, "BLOCK_ROWS", 50)
+    data, df = _records(spark, 7, 120)
+    rounds = varied.varied_subset(df, "id", "fs", 10**9).collect()
+    assert sorted(x.id for x in rounds) == sorted(data) and all(x.gain > 0 for x in rounds)
 
 
 def test_varied_subset_edges(spark):
     df = spark.createDataFrame([("a", ["x", "x", None]), ("b", None), ("c", []), (None, ["y"]), ("a", ["z"])], "id string, fs array<string>")
-    assert [x[0] for x in varied.varied_subset(df, "id", "fs", 1).collect()] == ["a"]
+    assert [tuple(x) for x in varied.varied_subset(df, "id", "fs", 1).collect()] == [("a", 0, 2.0)]
     assert rows_of(varied.varied_subset(df, "id", "fs", 9).select("id")) == [("a",), ("b",), ("c",)]
+    assert varied.varied_subset(df, "id", "fs", 2).count() == 2
     assert varied.varied_subset(df, "id", "fs", 0).count() == 0
     assert varied.varied_subset(df.limit(0), "id", "fs", 5).count() == 0
+    odd = spark.createDataFrame([("a", [("x", float("nan")), ("y", -1.0), (None, 2.0), ("z", 4.0), ("z", 9.0)])], "id string, fs array<struct<n:string,m:double>>")
+    assert varied.varied_subset(odd, "id", "fs", 1).first().gain == 3.0
 
 
-def test_feature_numbers_come_by_broadcast_or_join(spark):
-    rows = spark.createDataFrame([("a", [1, 2], 0.0), ("b", [], 0.0), ("c", [3], 0.0)], "id string, fs array<long>, gain double")
-    known = spark.createDataFrame([(1, 5.0), (3, 7.0)], "f long, v double")
-    want = [("a", [1, 2], 0.0, [5.0, 0.0]), ("b", [], 0.0, []), ("c", [3], 0.0, [7.0])]
-    assert rows_of(varied.attach(rows, known)) == want
-    assert rows_of(varied.attach(rows, known, most=1)) == want
+def test_the_first_by_histogram_are_the_first_by_order(spark):
+    r = random.Random(3)
+    rows = [(f"i{k:03d}", r.choice([1.0, 2.0, 2.0, r.random()]), r.getrandbits(63) * r.choice([1, -1])) for k in range(300)] + [(f"t{k}", 2.0, 7) for k in range(5)]
+    df = spark.createDataFrame(rows, "id string, gain double, u long")
+    for n in (1, 37, 130, 305):
+        got = {x.id for x in varied._first(df, n).collect()}
+        assert len(got) == n
+        least = min(x[1] for x in rows if x[0] in got)
+        assert all(x[0] in got for x in rows if x[1] > least + 1e-6)
+
+
+def test_queue_features_have_masses(spark):
+    row = spark.createDataFrame([("Ｔｅｎｔ:3|tent : 2|None|a_b", "x | X|[]", "s1"), (None, "", None)], "l string, c string, s string")
+    got = [[tuple(x) for x in r[0]] for r in row.select(varied.queue_features("l", "c", "s")).collect()]
+    assert got == [[("label:tent", 3.0), ("label:tent", 2.0), ("label:a b", 1.0), ("category:x", 1.0), ("category:x", 1.0), ("source:s1", 1.0)], []]
 
 
 R6 = "source_content_id string, queue_type string, candidate_id string, time_position_ms long, group_start_ms long, group_end_ms long, at string, chunk string"
