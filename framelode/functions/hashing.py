@@ -36,9 +36,19 @@ def ordered_digest(order: Column, digest: Column) -> Column:
 
 
 def multiset_digest(*columns: Column) -> Column:
-    """Aggregate: a digest that doesn't depend on row order, combined before the shuffle, for tables of any size."""
-    h = F.xxhash64(*columns)
-    return F.concat_ws("-", F.count(F.lit(1)).cast("string"), F.hex(F.bit_xor(h)), F.sum(F.pmod(h, F.lit(1 << 31))).cast("string"))
+    """Aggregate: a digest that doesn't depend on row order, combined before the shuffle, for tables of any size.
+
+    The SHA-256 of each row is taken as four numbers of 60 bits, which are summed over the rows.
+    """
+    row = F.sha2(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"}), 256)
+    lanes = [F.sum(F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)]
+    return F.concat_ws("-", F.count(F.lit(1)).cast("string"), *[F.coalesce(x, F.lit(0)).cast("string") for x in lanes])
+
+
+def valid_hash(c: Column) -> Column:
+    """The 64 hex digits of a SHA-256, trimmed, in lower case and without ``sha256:``; null if they aren't."""
+    text = F.regexp_replace(F.lower(F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")), "^sha256:", "")
+    return F.when(text.rlike("^[0-9a-f]{64}$"), text)
 
 
 def quick_hash(size: Column, head: Column, tail: Column) -> Column:

@@ -47,15 +47,18 @@ def norm_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"\\n", "\n"), r"(?U)\s+", " "))
 
 
-CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
+CJK = r"[\x{3400}-\x{9FFF}]"
+# What parts the words of a text, for queries of a single sign.
+_PARTS = r"[\s,，。:：;；/|()（）\[\]{}<>《》]+"
 
 
 def has_exact_query(text: Column, query: str) -> Column:
-    """Substring match; a single CJK character must stand alone between other signs."""
-    q = normalize_query(query)
-    if len(q) == 1 and re.match("[㐀-鿿豈-﫿]", q):
-        return F.array_contains(F.split(text, r"[^\p{L}\p{N}]+"), q)
-    return F.contains(F.lower(text), F.lit(q.lower())) if q else F.lit(False)
+    """Substring match of normal forms without regard to case; a single CJK sign must stand alone between white space and marks."""
+    q = normalize_query(query).casefold()
+    if not q:
+        return F.lit(False)
+    folded = casefold(normal_query_column(text))
+    return F.array_contains(F.split(folded, _PARTS), q) if len(q) == 1 and "\u3400" <= q <= "\u9fff" else F.contains(folded, F.lit(q))
 
 
 def term_matches(text: Column, term: Column, ambiguous: tuple[str, ...] = ()) -> Column:
@@ -78,7 +81,7 @@ def char_metrics(text: Column) -> dict[str, Column]:
     distinct = F.size(F.array_distinct(F.filter(F.split(text, ""), lambda x: x != "")))
     total, unique = F.size(lines), F.size(F.array_distinct(lines))
     return {
-        "text_len": n, "cjk_count": count(CJK), "latin_count": count("[A-Za-z]"), "digit_count": count("[0-9]"), "space_count": count(r"\s"),
+        "text_len": n, "cjk_count": count(CJK), "latin_count": count("[A-Za-z]"), "digit_count": count("[0-9]"), "punct_count": count(r"[^\p{L}\p{N}]+"), "space_count": count(r"\s"),
         "unique_char_count": distinct, "unique_char_ratio": ratio(distinct, n), "line_count": total, "unique_line_count": unique,
         "repeat_line_ratio": F.when(total > 0, F.round(1 - unique / total, 4)).otherwise(0.0),
         "cjk_ratio": ratio(count(CJK), n), "latin_ratio": ratio(count("[A-Za-z]"), n), "digit_ratio": ratio(count("[0-9]"), n),
@@ -96,6 +99,11 @@ def is_degenerate(text: Column, least: int = 64) -> Column:
     return F.regexp_replace(text, r"\s+", "").rlike(rf"^(?s)(.)\1{{{least - 1},}}$")
 
 
+# Recognised text that is noise, and phrases of captions that say little.
+NOISE = (r"^[^\p{L}\p{N}]+$", r"^(.)\1{8,}$", r"^[0-9\s:：./\\\-_,，。]+$")
+GENERIC = ("这是一张图片", "这张图片", "图中显示", "画面中", "可以看到", "无法确定", "无法判断", "不清楚", "看起来像")
+
+
 def text_quality(text: Column, ocr: Column) -> dict[str, Column]:
     """Additive penalties with their reasons and a status."""
     m = char_metrics(text)
@@ -107,8 +115,10 @@ def text_quality(text: Column, ocr: Column) -> dict[str, Column]:
         ((m["unique_char_ratio"] < 0.08) & (m["text_len"] >= 40), "low_unique_char_ratio", 30),
         ((m["repeat_line_ratio"] > 0.5) & (m["line_count"] >= 4), "repeated_lines", 30),
         (run >= 8, "long_repeated_char_run", 25),
+        (ocr & text.rlike("|".join(f"(?:{p})" for p in NOISE[:1] + NOISE[2:]) + "|" + NOISE[1]), "ocr_noise_pattern", 35),
         (ocr & (m["digit_ratio"] > 0.85) & (m["text_len"] >= 20), "mostly_digits", 15),
         (ocr & (m["cjk_count"] + m["latin_count"] == 0) & (m["text_len"] > 0), "no_language_chars", 35),
+        (~ocr & text.rlike("|".join(GENERIC)) & (m["text_len"] < 80), "generic_short_caption", 25),
         (~ocr & F.contains(text, F.lit("无法")) & text.rlike("识别|确定|判断"), "uncertain_or_refusal_like", 25),
     ]
     score = sum((F.when(when, points).otherwise(0) for when, _, points in rules), F.lit(0))
@@ -163,11 +173,19 @@ def text_issues(text: Column, tokens: Column | None = None, most: int | None = N
     return F.when(F.startswith(found, F.lit("empty_clean_text")), "failed").when(found != "", "review").otherwise("ok"), found
 
 
+# What an answer follows.
+ANSWER = ("<|im_start|>assistant", "assistant\n", "Assistant:\n", "ASSISTANT:\n")
+
+
 def clean_answer(raw: Column) -> Column:
     """The answer in the output of a captioning run: without wrapper, end marks, run metrics and local paths."""
     t = F.regexp_replace(raw, "\r\n?", "\n")
-    t = F.regexp_replace(t, r"(?s)^.*<\|im_start\|>assistant\n?", "")
-    t = F.regexp_replace(t, r"(?s)(<\|im_end\|>|<\|endoftext\|>|\n?==========).*$", "")
+    plain = F.regexp_replace(F.regexp_replace(t, r"(?s)^=+\s*\nFiles:\s*\[.*?\]\s*\n+", ""), r"(?s)^Files:\s*\[.*?\]\s*\n+", "")
+    # The first of the markers that occurs at all, at its first place.
+    for marker in reversed(ANSWER):
+        at = F.locate(marker, t)
+        plain = F.when(at > 0, F.substring(t, at + len(marker), F.length(t))).otherwise(plain)
+    t = F.regexp_replace(plain, r"(?s)(<\|im_end\|>|<\|endoftext\|>|\n==========|==========\n).*$", "")
     t = F.regexp_replace(t, r"(?is)\n(Prompt|Generation|Peak memory):\s.*$", "")
     t = F.regexp_replace(F.regexp_replace(t, r"<\|[^>]+\|>", ""), r"/Users/[^\s\])}。，,;；]+", "")
     t = F.regexp_replace(F.regexp_replace(t, r"(?im)^\s*(Prompt|Files):.*$", ""), r"(?m)[^\S\n]+$", "")

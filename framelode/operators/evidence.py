@@ -18,6 +18,20 @@ def neighbours(frames: DataFrame, source: str, time: str, key: str, radius: int
     return left.join(ranked.select("s", "r", F.col("id").alias("target")), ["s", "r"]).select(F.col("s").alias(source), "anchor", "target", F.abs("step").alias("step"))
 
 
+def confident_labels(labels: DataFrame, unit: str, label: str, confidence: str | None = None, least: float = 0.35) -> DataFrame:
+    """``unit, label`` (in lower case) of each label whose best confidence in the unit is at least ``least``; all of them where none is given."""
+    named = labels.select(F.col(unit).alias("unit"), F.lower(label).alias("label"), *([F.col(confidence).alias("c")] if confidence else []))
+    if not confidence:
+        return named.distinct()
+    return named.groupBy("unit", "label").agg(F.max("c").alias("c")).where(F.col("c") >= least).select("unit", "label")
+
+
+def anchor_texts(evidence: DataFrame, unit: str, text: str, modality: str, status: str, modalities: tuple[str, ...] = ("qwenvl",), statuses: tuple[str, ...] = ("PASS",)) -> DataFrame:
+    """``unit, text`` of the evidence that labels may leave: captions that passed. Recognised text, notes and what was propagated before are none, so nothing is carried twice."""
+    sound = F.col(modality).isin(*modalities) & F.col(status).isin(*statuses) & F.col(unit).isNotNull() & F.col(text).isNotNull()
+    return evidence.where(sound).select(F.col(unit).alias("unit"), F.col(text).alias("text"))
+
+
 def propagate(pairs: DataFrame, mentioned: DataFrame, labels: DataFrame) -> DataFrame:
     """A label goes from anchor to target if the anchor's text mentions it and both frames have it; once, never further."""
     carried = pairs.join(mentioned.select(F.col("unit").alias("anchor"), "label"), "anchor")
@@ -28,26 +42,26 @@ def propagate(pairs: DataFrame, mentioned: DataFrame, labels: DataFrame) -> Data
     return flat.withColumn("confidence", vectors.step_confidence(F.col("step"), F.col("overlap")))
 
 
-def mentions(docs: DataFrame, doc: str, body: str, terms: DataFrame, most: int = 10_000) -> DataFrame:
-    """``doc, term`` for each term that a document's text mentions.
+def mentions(docs: DataFrame, doc: str, body: str, terms: DataFrame) -> DataFrame:
+    """``doc, term`` for each term that a document's text mentions; ``doc`` is unique.
 
-    Terms that begin with a letter a-z or digit meet texts by an equi-join on their first word, and only longer ones are
-    then tested as a whole. Other terms are looked for as substrings: a registry of at most ``most``, checked, goes with the plan.
+    Terms that begin with a letter a-z or digit meet texts by an equi-join on their first word, others on their first two
+    signs (or their only one). Only keys are repeated and shuffled so; texts are fetched for the pairs that need a look.
     """
     from framelode.functions.text import term_matches
 
     known = terms.select(F.lower(F.trim(terms[terms.columns[0]])).alias("term")).where("term <> ''").distinct()
+    word = F.regexp_extract("term", "^[a-z0-9]+", 0)
+    keyed = known.withColumn("key", F.when(word != "", F.concat(F.lit("w"), word)).otherwise(F.concat(F.lit("s"), F.substring("term", 1, 2))))
     text = docs.where(F.col(body).isNotNull()).select(F.col(doc), F.lower(body).alias("x"))
-    worded = known.where(F.col("term").rlike("^[a-z0-9]")).withColumn("word", F.regexp_extract("term", "^[a-z0-9]+", 0))
-    words = text.select(doc, "x", F.explode(F.array_distinct(F.regexp_extract_all("x", F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
-    met = words.join(worded, "word").where((F.col("term") == F.col("word")) | term_matches(F.col("x"), F.col("term"))).select(doc, "term")
-    rest = [r[0] for r in known.where(~F.col("term").rlike("^[a-z0-9]")).limit(most + 1).collect()]
-    if len(rest) > most:
-        raise ValueError(f"more than {most} terms that aren't words")
-    if not rest:
-        return met
-    found = text.select(doc, F.explode(F.filter(F.array(*[F.lit(t) for t in sorted(rest)]), lambda t: term_matches(F.col("x"), t))).alias("term"))
-    return met.unionAll(found)
+    words = F.transform(F.array_distinct(F.regexp_extract_all("x", F.lit("[a-z0-9]+"), F.lit(0))), lambda x: F.concat(F.lit("w"), x))
+    signs = F.filter(F.split("x", ""), lambda x: x != "")
+    two = F.zip_with(signs, F.slice(signs, 2, F.greatest(F.size(signs), F.lit(1))), lambda p, q: F.concat(p, F.coalesce(q, F.lit(""))))
+    spans = F.transform(F.array_distinct(F.concat(signs, F.filter(two, lambda x: ~x.rlike("^[a-z0-9]")))), lambda x: F.concat(F.lit("s"), x))
+    met = text.select(doc, F.explode(F.concat(words, spans)).alias("key")).join(keyed, "key").select(doc, "term", "key").distinct()
+    whole = met.where(F.col("key") == F.concat(F.when(F.col("term").rlike("^[a-z0-9]"), "w").otherwise("s"), F.col("term"))).where(~F.col("term").rlike("[a-z0-9]") | F.col("key").startswith("w")).select(doc, "term")
+    rest = met.select(doc, "term").join(whole, [doc, "term"], "left_anti")
+    return whole.unionAll(rest.join(text, doc).where(term_matches(F.col("x"), F.col("term"))).select(doc, "term"))
 
 
 def roll_up(items: DataFrame) -> DataFrame:

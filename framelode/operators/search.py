@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelode.functions import hashing, text, vectors
+from framelode.operators import windows
+from framelode.runtime import BROADCAST_ROWS, Scratch, bounded_broadcast
 
 K = 60
 WEIGHTS = {"visual": 1.0, "text": 0.8, "object": 0.4}
@@ -64,24 +67,80 @@ def text_evidence(docs: DataFrame, unit: str, doc: str, text_col: str, score: st
     return docs.groupBy(unit).agg(F.max(score).alias("text_score"), F.max(exact).alias("exact_text"), F.max_by(shown, rank).alias("preview"))
 
 
+def registry_terms(registry: DataFrame) -> DataFrame:
+    """``label, term`` of a registry: each label, its translation, its search terms (a JSON list; broken ones have none) and the words of its embedding text."""
+    listed = F.coalesce(F.from_json("search_terms_json", "array<string>"), F.array().cast("array<string>"))
+    words = F.split(F.trim(F.regexp_replace(F.coalesce("embedding_text", F.lit("")), r"(?U)\s+", " ")), " ")
+    terms = F.explode(F.concat(F.array("label", "label_zh"), listed, words))
+    return registry.select("label", terms.alias("term")).where("term is not null and term <> ''").distinct()
+
+
 def object_evidence(labels: DataFrame, terms: DataFrame, query: str, unit: str) -> DataFrame:
-    """Units with a label one of whose terms equals the query, with the best confidence."""
-    hit = terms.where(F.lower(F.trim("term")) == text.normalize_query(query).lower()).select("label").distinct()
-    return labels.join(F.broadcast(hit), "label", "left_semi").groupBy(unit).agg(F.max("confidence").alias("confidence"))
+    """Units with a label one of whose terms equals the query in normal form without regard to case, with the best confidence."""
+    wanted = text.normalize_query(query).casefold()
+    hit = terms.where(text.casefold(text.normal_query_column(F.col("term"))) == wanted).select("label").distinct() if wanted else terms.select("label").limit(0)
+    return labels.join(bounded_broadcast(hit, hit.limit(BROADCAST_ROWS + 1).count()), "label", "left_semi").groupBy(unit).agg(F.max("confidence").alias("confidence"))
+
+
+def fuse(hits: DataFrame, key: str, config: SearchConfig, scratch: Scratch | None = None) -> DataFrame:
+    """Weighted reciprocal rank over the channels ``visual, text, object`` (null: not found there). Scores must be finite.
+
+    Each channel's hits are ranked by range partitions, so no task sorts a whole channel, and one aggregate by key adds
+    the parts up. Rows with a score that isn't finite end the search with an error.
+    """
+    scratch = scratch or Scratch(hits.sparkSession, "fuse")
+    table = scratch.put(hits, "hits")
+    odd = reduce(lambda a, b: a | b, [F.isnan(F.col(c)) | (F.abs(c) == float("inf")) for c in config.weights])
+    if not table.where(odd).isEmpty():
+        raise ValueError("a score isn't finite")
+    parts = []
+    for channel, weight in config.weights.items():
+        found = table.where(F.col(channel).isNotNull()).select(key, channel)
+        ranked = windows.global_rank(found, [F.desc(channel), F.asc(key)], "rank")
+        parts.append(ranked.select(key, (F.lit(weight) / (config.k + F.col("rank"))).alias("part"), F.lit(channel).alias("channel"), "rank"))
+    own = [F.max(F.when(F.col("channel") == c, F.col("part"))).alias(f"part_{c}") for c in config.weights] + [F.max(F.when(F.col("channel") == c, F.col("rank"))).alias(f"rank_{c}") for c in config.weights]
+    summed = reduce(DataFrame.unionAll, parts).groupBy(key).agg(*own)
+    score = reduce(lambda a, b: a + b, [F.coalesce(f"part_{c}", F.lit(0.0)) for c in config.weights])
+    return table.join(summed, key, "left").withColumn("rrf", score).drop(*[f"part_{c}" for c in config.weights])
+
+
+def reranked(key: str) -> list[Column]:
+    """The order of relevant hits: relevance, then reciprocal rank, then id."""
+    return [F.desc("relevance"), F.desc("rrf"), F.asc(key)]
+
+
+def media_counts(relevant: DataFrame, media: str, page: DataFrame | None = None) -> DataFrame:
+    """Hits by kind of media, and how many of them a page shows."""
+    counted = relevant.groupBy(media).agg(F.count("*").alias("hits"))
+    if page is None:
+        return counted
+    return counted.join(page.groupBy(media).agg(F.count("*").alias("shown")), media, "left").withColumn("shown", F.coalesce("shown", F.lit(0)))
+
+
+def exact_first(groups: DataFrame, key: str, score: str, exact: str, n: int, offset: int = 0) -> DataFrame:
+    """A page of hits, exact ones first, then by score, then by key. Only offset + n rows are kept while sorting."""
+    return groups.orderBy(F.desc(exact), F.desc(score), key).limit(offset + n).offset(offset)
+
+
+def text_groups(docs: DataFrame, digest: str, doc: str, score: str, exact: str, most: int) -> DataFrame:
+    """One hit for each distinct text: its best score, whether a document of it matches exactly, how many documents have it, and the ``most`` smallest of them.
+
+    Scores outside [-1.001, 1.001] are no products of unit vectors: such a search ends with an error when it is read.
+    """
+    sound = F.when(F.col(score).between(-1.001, 1.001), F.col(score)).otherwise(F.raise_error(F.lit("a score lies outside [-1.001, 1.001]")).cast("double"))
+    ranked = docs.withColumn("_s", sound).withColumn("_n", F.row_number().over(Window.partitionBy(digest).orderBy(doc)))
+    shown = F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.col(doc))))
+    return ranked.groupBy(digest).agg(F.max("_s").alias("score"), F.max(exact).alias("exact"), F.count("*").alias("documents"), shown.alias("shown"))
 
 
-def _rank(df: DataFrame, key: str, score: str, name: str) -> DataFrame:
-    """Ranks from 1. A channel's hits are ranked globally: the caller bounds them (a top page), or accepts one sorted pass."""
-    return df.where(F.col(score).isNotNull()).select(key, F.row_number().over(Window.orderBy(F.desc(score), key)).alias(name))
+# The field in which a reason of relevance lies.
+HIT_FIELDS = {"exact_text": "text", "exact_object_label": "object_label", "visual": "visual_vector", "text": "semantic_text", "combined_visual_text": "visual_and_text"}
 
 
-def fuse(hits: DataFrame, key: str, config: SearchConfig) -> DataFrame:
-    """Weighted reciprocal rank over the channels ``visual, text, object`` (null: not found there)."""
-    out = hits
-    for channel in config.weights:
-        out = out.join(_rank(hits, key, channel, f"rank_{channel}"), key, "left")
-    score = sum((F.coalesce(F.lit(w) / (config.k + F.col(f"rank_{c}")), F.lit(0.0)) for c, w in config.weights.items()), F.lit(0.0))
-    return out.withColumn("rrf", score)
+def hit_fields(reasons: Column) -> Column:
+    """The fields of ``a|b`` reasons, each once, in order; ``visual_vector`` if there is none."""
+    named = F.transform(F.filter(F.split(reasons, r"\|"), lambda x: x != ""), lambda x: F.coalesce(F.create_map(*[F.lit(v) for kv in HIT_FIELDS.items() for v in kv])[x], x))
+    return F.coalesce(F.nullif(F.array_join(F.array_distinct(named), ","), F.lit("")), F.lit("visual_vector"))
 
 
 def gate(config: SearchConfig) -> Column:
@@ -129,10 +188,21 @@ def scene_code(indoor: Column, night: Column, outdoor: Column, day: Column) -> C
     )
 
 
-def nearest_rows(left: DataFrame, right: DataFrame, on: str, time: str, key: str, n: int, reach: int) -> DataFrame:
-    """For each left row the ``n`` right rows nearest in time within ``reach``: a join on buckets as wide as the reach."""
-    a = left.select(F.col(on).alias("s"), F.col(key).alias("id"), F.col(time).alias("t")).withColumn("b", F.explode(F.array(*[F.floor(F.col("t") / reach) + i for i in (-1, 0, 1)])))
-    b = right.select(F.col(on).alias("s"), F.col(key).alias("near"), F.col(time).alias("u")).withColumn("b", F.floor(F.col("u") / reach))
-    met = a.join(b, ["s", "b"]).where(F.abs(F.col("t") - F.col("u")) <= reach)
-    w = Window.partitionBy("id").orderBy(F.abs(F.col("t") - F.col("u")), "u", "near")
-    return met.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n).select("id", "near", "position", F.abs(F.col("t") - F.col("u")).alias("distance"))
+def nearest_rows(left: DataFrame, right: DataFrame, on: str, time: str, key: str, n: int) -> DataFrame:
+    """For each left row the ``n`` right rows of its source nearest in time, however far.
+
+    Both sides lie on one line of time: of the right rows only the ``n`` last before a left row and the ``n`` first after
+    it can be near. Their ranks follow from one ordered count in the source, so each left row meets 2 n ranks by an equi-join.
+    """
+    kind = left.schema[key].dataType
+    a = left.select(F.col(on).alias("s"), F.col(time).alias("t"), F.col(key).cast("string").alias("id"), F.lit(1).alias("mine"))
+    b = right.select(F.col(on).alias("s"), F.col(time).alias("t"), F.col(key).alias("near"))
+    line = Window.partitionBy("s").orderBy("t", "mine").rowsBetween(Window.unboundedPreceding, 0)
+    placed = a.unionAll(b.select("s", "t", F.lit(None).cast("string"), F.lit(0))).withColumn("r", F.sum(1 - F.col("mine")).over(line)).where("mine = 1")
+    met = None
+    for order, steps in (([F.asc("t"), F.desc("near")], range(1 - n, 1)), ([F.asc("t"), F.asc("near")], range(1, n + 1))):  # of rows at one time the smallest key is nearest, on either side
+        ranked = b.select("s", "near", F.col("t").alias("u"), F.row_number().over(Window.partitionBy("s").orderBy(*order)).alias("r"))
+        side = placed.select("s", "id", "t", F.explode(F.array(*[F.col("r") + i for i in steps])).alias("r")).join(ranked, ["s", "r"])
+        met = side if met is None else met.unionByName(side)
+    w = Window.partitionBy("s", "id").orderBy(F.abs(F.col("t") - F.col("u")), "u", "near")
+    return met.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n).select(F.col("id").cast(kind).alias("id"), "near", "position", F.abs(F.col("t") - F.col("u")).alias("distance"))

@@ -101,3 +101,15 @@ def local_argmax(df: DataFrame, source: str, time: str, tie: str, value: str, re
     better = (F.abs(F.col("t") - F.col("t2")) <= reach) & (F.struct(-F.col("v2"), F.col("t2"), F.col("i2")) < F.struct(-F.col("v"), F.col("t"), F.col("i")))
     beaten = own.join(other, (own["s"] == other["s"]) & (own["b"] == other["b"]) & better, "left_anti")
     return beaten.select(F.col("s").alias(source), F.col("i").alias(tie), F.col("v").alias(value))
+
+
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Ranks from 1 over all rows without one task for all: range partitions are ranked on their own and shifted by the sizes before them.
+
+    Rows come from ``df`` twice (once for the sizes), so it should be cheap or written. ``order`` must be total.
+    """
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    numbered = parts.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+    line = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    before = numbered.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("_before"))
+    return numbered.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i") + 1).drop("_m", "_p", "_i", "_before")

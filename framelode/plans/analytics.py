@@ -174,11 +174,7 @@ def frame_indexes(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS position FROM orders")
 def global_rank(t: Tables) -> DataFrame:
-    """A global rank without one task for all: range partitions are ranked on their own and shifted by the sizes before them."""
-    parts = t.orders.select("o_orderkey", "o_totalprice").repartitionByRange(F.desc("o_totalprice"), F.asc("o_orderkey")).sortWithinPartitions(F.desc("o_totalprice"), "o_orderkey")
-    numbered = parts.withColumn("m", F.monotonically_increasing_id()).withColumn("p", F.shiftright("m", 33)).withColumn("i", F.col("m").bitwiseAND(F.lit((1 << 33) - 1)))
-    before = numbered.groupBy("p").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return numbered.join(F.broadcast(before), "p").select("o_orderkey", (F.col("before") + F.col("i") + 1).alias("position"))  # a row for each partition is broadcast
+    return windows.global_rank(t.orders.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.asc("o_orderkey")], "position").select("o_orderkey", "position")
 
 
 @query(f"WITH {FRAMES} SELECT id, round(abs(luma - lag(luma) OVER w), 6) AS change, greatest(coalesce(abs(luma - lag(luma) OVER w), 0), coalesce(abs(lead(luma) OVER w - luma), 0)) > 20 AS is_change, luma >= coalesce(lag(luma) OVER w, luma) AND luma >= coalesce(lead(luma) OVER w, luma) AS is_peak FROM f {W}")
@@ -233,7 +229,8 @@ def local_best(t: Tables) -> DataFrame:
     return windows.local_argmax(t.frames, "src", "t", "id", "std", 6000)
 
 
-@query(f"""WITH {FRAMES}, b AS (SELECT unnest([0, 60000, 120000]) AS low) SELECT src, low, max_by(id, (std, -t, id)) AS id FROM f JOIN b ON t BETWEEN low AND low + 60000 GROUP BY src, low""")
+@query(f"""WITH {FRAMES}, s AS (SELECT src, min(t) AS first, greatest(1, max(t) - min(t)) AS span FROM f GROUP BY src), b AS (SELECT src, band, first + span * band / 3.0::DOUBLE AS low, first + span * (band + 1) / 3.0::DOUBLE AS high FROM s, (VALUES (0), (1), (2)) v(band))
+    SELECT b.src, low, max_by(id, (std, -t, id)) AS id FROM f JOIN b ON f.src = b.src AND t BETWEEN low AND high GROUP BY b.src, band, low""")
 def best_in_bands(t: Tables) -> DataFrame:
     """The span of a source, from its first to its last frame, in BANDS equal bands. They share their ends, so a frame on one counts in both."""
     span = t.frames.groupBy("src").agg(F.min("t").alias("first"), F.greatest(F.lit(1), F.max("t") - F.min("t")).alias("span"))

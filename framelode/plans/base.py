@@ -66,4 +66,20 @@ FRAMES = """f AS (SELECT DISTINCT visual_unit_id AS id, source_content_id AS src
 LABELS = r"l AS (SELECT * FROM (SELECT DISTINCT visual_unit_id AS unit, lower(regexp_replace(label, '^[\s\x0b\x85\p{Z}]+|[\s\x0b\x85\p{Z}]+$', '', 'g')) AS label FROM yolo_visual_unit_label WHERE visual_unit_id IS NOT NULL) WHERE label <> '')"
 FILES = """s AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY source_file_id ORDER BY updated_at DESC NULLS LAST, scan_run_id NULLS LAST, dedup_role NULLS LAST, content_sha256 NULLS LAST, size_bytes NULLS LAST) AS rn
   FROM source_file_records WHERE source_file_id IS NOT NULL) WHERE rn = 1)"""
+# SQL has no NFKC; full-width ASCII and the ideographic blank are the compatibility forms that the tables hold.
+_WIDE = "".join(chr(0xFF01 + i) for i in range(94)) + "\u3000"
+_NARROW = ("".join(chr(0x21 + i) for i in range(94)) + " ").replace("'", "''")
+
+
+def narrow(sql: str) -> str:
+    """SQL of a text with its full-width signs as ASCII."""
+    return f"translate({sql}, '{_WIDE}', '{_NARROW}')"
+
+
+#: A text in lower case with every run of white space as one blank, trimmed; and the search terms of a registry row, none if they are no JSON list.
+SQUEEZED = r"trim(regexp_replace(lower({0}), '[\s\x0b\x1c-\x1f\x85\p{{Z}}]+', ' ', 'g'))"
+LISTED = "CASE WHEN json_valid(search_terms_json) AND json_type(search_terms_json) = 'ARRAY' THEN json_extract_string(search_terms_json, '$[*]') ELSE []::VARCHAR[] END"
+#: Files with ``d``, the 64 hex digits of a valid hash in whatever spelling.
+HASHED = r"""cleaned AS (SELECT *, regexp_replace(lower(regexp_replace(content_sha256, '^[\s\x0b\x1c-\x1f\x85\p{Z}]+|[\s\x0b\x1c-\x1f\x85\p{Z}]+$', '', 'g')), '^sha256:', '') AS c FROM s),
+  hashed AS (SELECT * EXCLUDE (c), CASE WHEN regexp_full_match(c, '[0-9a-f]{64}') THEN c END AS d FROM cleaned)"""
 QUEUE = "q AS (SELECT DISTINCT *, lower(trim(queue_type)) AS kind FROM stop03_2_candidate_queue_items)"

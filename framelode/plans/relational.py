@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelode.functions import text, times
+from framelode.functions import hashing, text, times
 from framelode.operators import search, selection, tables
-from framelode.plans.base import FILES, FRAMES, LABELS, QUEUE, Tables, query
+from framelode.plans.base import FILES, FRAMES, HASHED, LABELS, QUEUE, Tables, query
 from framelode.sources import readers
 
-_NAME = "lower(regexp_extract(file_name, '\\.[^./]+$'))"
+_EXT = "lower(regexp_extract(file_name, '[^./][^/]*\\.([^./]+)$', 1))"
 
 
-def _case(kinds: dict) -> str:
-    return "CASE " + " ".join(f"WHEN {_NAME} IN ({', '.join(repr('.' + e) for e in es)}) THEN '{k}'" for k, es in kinds.items()) + " ELSE 'other' END"
-
-
-@query(f"""SELECT source_content_id, kind, CASE WHEN reason = '' THEN 'supported' ELSE 'unsupported_or_blocked' END AS status, reason FROM (
-    SELECT source_content_id, kind, CASE WHEN lower(file_name) IN ('.ds_store', 'thumbs.db', 'desktop.ini') THEN 'ignored_name' WHEN size_bytes IS NULL THEN 'stat_failed' WHEN size_bytes = 0 THEN 'zero_byte' WHEN kind = 'other' THEN 'unknown_extension' ELSE '' END AS reason
-    FROM (SELECT *, {_case(readers.KINDS)} AS kind FROM source_assets))""")
+@query(f"""WITH e AS (SELECT source_content_id, lower(file_name) AS name, size_bytes, {_EXT} AS ext FROM source_assets), k AS (SELECT *, CASE
+    WHEN ext IN ('mov', 'mp4', 'm4v', 'avi', 'mkv', 'mts', 'm2ts', 'insv', 'mxf', 'braw', 'r3d', 'crm', 'ari') THEN 'video'
+    WHEN ext IN ('jpg', 'jpeg', 'png', 'tif', 'tiff', 'heic', 'heif', 'hif', 'dng', 'arw', 'cr2', 'cr3', 'nef', 'nrw', 'rw2', 'raf', 'orf', 'webp', 'bmp', 'gif') THEN 'image'
+    WHEN ext IN ('wav', 'mp3', 'm4a', 'aac', 'flac', 'aiff', 'aif', 'ogg', 'opus', 'wma') THEN 'audio'
+    WHEN ext IN ('xmp', 'xaml', 'aae', 'dop', 'cos', 'pp3', 'on1', 'lmnr') THEN 'metadata_sidecar'
+    WHEN ext IN ('txt', 'srt', 'vtt', 'ass', 'ssa', 'json', 'csv', 'tsv', 'xml', 'md', 'rtf', 'log', 'cue', 'edl', 'fcpxml', 'otio') THEN 'text'
+    WHEN ext IN ('zip', 'rar', '7z', 'tar', 'gz', 'bz2', 'xz', 'dmg', 'iso') THEN 'archive' ELSE 'other' END AS kind FROM e),
+    r AS (SELECT *, CASE WHEN name IN ('.ds_store', 'thumbs.db', 'desktop.ini') THEN 'system_sidecar_ignored_name' WHEN size_bytes IS NULL THEN 'stat_failed' WHEN size_bytes = 0 THEN 'zero_byte_file'
+      WHEN kind = 'metadata_sidecar' THEN 'linked_metadata_sidecar_not_processing_queue' WHEN kind = 'archive' THEN 'archive_or_disk_image_not_processed' WHEN kind <> 'other' THEN '' WHEN ext = '' THEN 'missing_extension' ELSE 'unsupported_extension:.' || ext END AS reason FROM k),
+    s AS (SELECT *, CASE WHEN reason = '' THEN 'supported' WHEN reason = 'stat_failed' THEN 'blocked' WHEN reason LIKE 'linked%' THEN 'metadata_sidecar' ELSE 'unsupported' END AS status FROM r)
+    SELECT source_content_id, CASE WHEN status IN ('supported', 'metadata_sidecar') THEN kind ELSE 'unsupported' END AS kind, status, reason FROM s""")
 def media_kinds(t: Tables) -> DataFrame:
     kind, status, reason = readers.media_kind(F.col("file_name"), F.col("size_bytes"), F.col("size_bytes").isNull())
     return t.source_assets.select("source_content_id", kind.alias("kind"), status.alias("status"), reason.alias("reason"))
@@ -188,10 +192,10 @@ def events_within_an_hour(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {FRAMES}, d AS (SELECT DISTINCT doc_id, source_content_id AS s, time_position_ms AS u FROM documents WHERE time_position_ms >= 0)
-    SELECT id, near, position, distance FROM (SELECT id, doc_id AS near, abs(t - u) AS distance, row_number() OVER (PARTITION BY id ORDER BY abs(t - u), u, doc_id) AS position FROM f JOIN d ON src = s AND abs(t - u) <= 30000) WHERE position <= 5""")
+    SELECT id, near, position, distance FROM (SELECT id, doc_id AS near, abs(t - u) AS distance, row_number() OVER (PARTITION BY id ORDER BY abs(t - u), u, doc_id) AS position FROM f JOIN d ON src = s) WHERE position <= 5""")
 def nearest_documents(t: Tables) -> DataFrame:
     docs = t.documents.where("time_position_ms >= 0").select(F.col("source_content_id").alias("src"), F.col("doc_id").alias("id"), F.col("time_position_ms").alias("t"))
-    return search.nearest_rows(t.frames, docs, "src", "t", "id", 5, 30_000)
+    return search.nearest_rows(t.frames, docs.where("src is not null").distinct(), "src", "t", "id", 5)
 
 
 @query(f"""WITH {FRAMES}, a AS (SELECT src, min(t) AS s, max(t) AS z FROM f GROUP BY src), n AS (SELECT src, s, unnest(generate_series(0, (z - s) // 60000)) AS anchor FROM a)
@@ -292,9 +296,9 @@ def largest_of_all(t: Tables) -> DataFrame:
     return top(t.orders, "order", "o_orderkey", "o_totalprice").unionAll(top(t.part, "part", "p_partkey", "p_retailprice")).orderBy(F.desc("size"), "kind", "id").limit(20)
 
 
-@query(f"""WITH {FILES} SELECT content_sha256, bytes, files FROM (SELECT lower(content_sha256) AS content_sha256, sum(size_bytes)::BIGINT AS bytes, count(*) AS files FROM s WHERE length(content_sha256) = 64 GROUP BY lower(content_sha256)) WHERE files > 1 ORDER BY bytes DESC NULLS LAST, content_sha256 LIMIT 25 OFFSET 5""")
+@query(f"""WITH {FILES}, {HASHED} SELECT content_sha256, bytes, files FROM (SELECT d AS content_sha256, sum(size_bytes)::BIGINT AS bytes, count(*) AS files FROM hashed WHERE d IS NOT NULL GROUP BY d) WHERE files > 1 ORDER BY bytes DESC NULLS LAST, content_sha256 LIMIT 25 OFFSET 5""")
 def duplicate_groups_page(t: Tables) -> DataFrame:
-    g = t.files.where(F.length("content_sha256") == 64).groupBy(F.lower("content_sha256").alias("content_sha256")).agg(F.sum("size_bytes").alias("bytes"), F.count("*").alias("files")).where("files > 1")
+    g = t.files.withColumn("d", hashing.valid_hash(F.col("content_sha256"))).where("d is not null").groupBy(F.col("d").alias("content_sha256")).agg(F.sum("size_bytes").alias("bytes"), F.count("*").alias("files")).where("files > 1")
     return g.orderBy(F.desc_nulls_last("bytes"), "content_sha256").offset(5).limit(25)
 
 

@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelode.functions import text, times, vectors
+from framelode.functions import hashing, text, times, vectors
 from framelode.operators import audit, components, evidence, greedy, identity, search, selection, tables, windows
-from framelode.plans.base import FILES, FRAMES, LABELS, QUEUE, Tables, query
+from framelode.plans.base import FILES, FRAMES, HASHED, LABELS, LISTED, QUEUE, SQUEEZED, Tables, narrow, query
 from framelode.plans.texts import STRIP
 
 #: The vectors that stand for the embedded query of the visual and of the text channel: models are not run here.
@@ -41,6 +41,12 @@ _SEARCH = f"""WITH {FRAMES}, u AS (SELECT id, row_number() OVER (ORDER BY id) -
   g AS (SELECT *, coalesce(object, -1) >= 0.55 AND (visual >= 0.33 OR coalesce(text, -1) >= 0.40) AS a, visual >= 0.34 AS b, coalesce(text, -1) >= 0.48 AS c, visual >= 0.24 AND coalesce(text, -1) >= 0.40 AS d FROM s)"""
 
 
+def _relevant(t: Tables) -> DataFrame:
+    config = search.SearchConfig()
+    fused = search.fuse(_hits(t), "vec_id", config).withColumn("reasons", search.gate(config)).where("reasons <> ''")
+    return fused.select("vec_id", F.round("rrf", 9).alias("rrf"), "reasons", F.round(search.relevance(), 5).alias("relevance"))
+
+
 def _hits(t: Tables) -> DataFrame:
     """Scores of three channels for every vector; the object channel stands for labels with a confidence."""
     q, p = (F.array(*[F.lit(x) for x in _vector(t, k)]) for k in (VISUAL, TEXT))
@@ -52,10 +58,8 @@ def _hits(t: Tables) -> DataFrame:
     round(least(0.99, greatest(CASE WHEN a THEN least(0.92, 0.55 + 0.4 * object) ELSE 0 END, CASE WHEN b THEN least(0.90, (visual + 1) / 2) ELSE 0 END, CASE WHEN c THEN least(0.92, (text + 1) / 2) ELSE 0 END, CASE WHEN d THEN least(0.94, ((visual + 1) / 2 + (text + 1) / 2) / 2 + 0.08) ELSE 0 END)
       + least(0.08, 0.02 * (a::INT + b::INT + c::INT + d::INT - 1))), 5) AS relevance FROM g WHERE a OR b OR c OR d""")
 def hybrid_search(t: Tables) -> DataFrame:
-    """Three channels fused by reciprocal rank, gated, with a relevance."""
-    config = search.SearchConfig()
-    fused = search.fuse(_hits(t), "vec_id", config).withColumn("reasons", search.gate(config)).where("reasons <> ''")
-    return fused.select("vec_id", F.round("rrf", 9).alias("rrf"), "reasons", F.round(search.relevance(), 5).alias("relevance"))
+    """Three channels fused by reciprocal rank, gated, with a relevance, in the order of a result list."""
+    return _relevant(t).orderBy(*search.reranked("vec_id"))
 
 
 @query("""WITH d AS (SELECT visual_unit_id AS unit, doc_id, text, (n_chars % 97) / 97.0::DOUBLE AS score, contains(lower(text), 'tent') AS exact FROM documents WHERE visual_unit_id IS NOT NULL AND text IS NOT NULL)
@@ -66,10 +70,13 @@ def text_channel(t: Tables) -> DataFrame:
     return search.text_evidence(d, "unit", "doc_id", "text", "score", "exact").withColumn("text_score", F.round("text_score", 9))
 
 
-@query(f"WITH {LABELS} SELECT unit, 0.9::DOUBLE AS confidence FROM l WHERE label IN (SELECT lower(trim(label)) FROM visual_label_terms WHERE lower(trim(label)) = 'person' OR lower(trim(label_zh)) = 'person')")
+@query(f"""WITH {LABELS}, v AS (SELECT label, unnest(list_concat(list_concat([label, label_zh], {LISTED}), string_split_regex(coalesce(embedding_text, ''), '[\\s\\p{{Z}}]+'))) AS term FROM visual_label_terms),
+    h AS (SELECT DISTINCT lower(trim(label)) AS label FROM v WHERE {SQUEEZED.format(narrow("term"))} = 'person')
+    SELECT DISTINCT unit, 0.9::DOUBLE AS confidence FROM l WHERE label IN (SELECT label FROM h)""")
 def object_channel(t: Tables) -> DataFrame:
-    terms = t.visual_label_terms.select(F.lower(F.trim("label")).alias("label"), F.explode(F.array("label", "label_zh")).alias("term"))
-    return search.object_evidence(t.labels.withColumn("confidence", F.lit(0.9)), terms, " Person ", "unit")
+    """Units with a label that the query names by any term of the registry; the tables have no confidence, so each label counts as 0.9."""
+    terms = search.registry_terms(t.visual_label_terms).withColumn("label", F.lower(F.trim("label")))
+    return search.object_evidence(t.labels.withColumn("confidence", F.lit(0.9)), terms, " Ｐｅｒｓｏｎ ", "unit")
 
 
 @query(f"WITH {LABELS} SELECT (SELECT count(*) FROM (SELECT DISTINCT visual_unit_id FROM visual_units WHERE visual_unit_id NOT IN (SELECT unit FROM l))) AS uncovered, (SELECT count(DISTINCT visual_unit_id) FROM visual_units) AS units")
@@ -92,8 +99,9 @@ def scene_consensus(t: Tables) -> DataFrame:
 @query()
 def temporal_dedup(t: Tables) -> DataFrame:
     """Candidates in order of score; of those closer than 5 s to one kept before, in their source, none stays."""
-    rows = t.queue.where("source_content_id is not null and candidate_id is not null and time_position_ms >= 0").select(F.col("source_content_id").alias("src"), "candidate_id", F.col("time_position_ms").alias("t"), F.coalesce(F.nanvl("candidate_score", F.lit(None).cast("double")), F.lit(-1.0)).alias("score")).distinct()
-    return greedy.keep_apart(rows, "src", "t", [("score", False), ("candidate_id", True)], 5000, "src string, candidate_id string, t bigint")
+    rows = t.queue.where("source_content_id is not null and candidate_id is not null and time_position_ms >= 0").groupBy(F.col("source_content_id").alias("src"), "candidate_id", F.col("time_position_ms").alias("t")).agg(F.max(F.coalesce(F.nanvl("candidate_score", F.lit(None).cast("double")), F.lit(-1.0))).alias("score"), F.max(F.coalesce(F.lower(F.trim("media_type")) == "video", F.lit(False))).alias("video"))
+    kept = greedy.keep_apart(rows.where("video"), "src", "t", [("score", False), ("candidate_id", True), ("t", True)], 5000, "src string, candidate_id string, t bigint")
+    return kept.unionAll(rows.where("not video").select("src", "candidate_id", "t"))
 
 
 @query(f"WITH {FILES} SELECT source_file_id, min(source_file_id) OVER (PARTITION BY absolute_path) AS canonical_id, count(*) OVER (PARTITION BY absolute_path) AS members FROM s WHERE absolute_path IS NOT NULL")
@@ -106,31 +114,32 @@ def files_to_hash(t: Tables) -> DataFrame:
     return identity.hash_wanted(t.files, "size_bytes").select("source_file_id")
 
 
-@query(f"""WITH {FILES}, h AS (SELECT *, lower(content_sha256) AS d FROM s WHERE regexp_full_match(lower(content_sha256), '[0-9a-f]{{64}}')) SELECT source_file_id, first_value(source_file_id) OVER (PARTITION BY d ORDER BY length(relative_path) NULLS FIRST, relative_path NULLS FIRST, absolute_path NULLS FIRST, source_file_id) AS canonical_id, count(*) OVER (PARTITION BY d) AS members FROM h""")
+@query(f"""WITH {FILES}, {HASHED}, h AS (SELECT * FROM hashed WHERE d IS NOT NULL) SELECT source_file_id, first_value(source_file_id) OVER (PARTITION BY d ORDER BY length(relative_path) NULLS FIRST, relative_path NULLS FIRST, absolute_path NULLS FIRST, source_file_id) AS canonical_id, count(*) OVER (PARTITION BY d) AS members FROM h""")
 def content_duplicates(t: Tables) -> DataFrame:
-    h = t.files.where(F.lower("content_sha256").rlike("^[0-9a-f]{64}$")).withColumn("d", F.lower("content_sha256"))
+    h = t.files.withColumn("d", hashing.valid_hash(F.col("content_sha256"))).where("d is not null")
     return identity.content_canonical(h, "d", "relative_path", "absolute_path", "source_file_id").select("source_file_id", "canonical_id", "members")
 
 
-@query(f"""WITH {FILES}, c AS (SELECT source_file_id, lower(trim(support_status)) = 'supported' AS ok, count(*) OVER (PARTITION BY absolute_path) > 1 AND source_file_id > min(source_file_id) OVER (PARTITION BY absolute_path) AS p, content_sha256 IS NOT NULL AND source_file_id > min(source_file_id) OVER (PARTITION BY lower(content_sha256)) AS c FROM s WHERE absolute_path IS NOT NULL)
+@query(f"""WITH {FILES}, {HASHED}, c AS (SELECT source_file_id, lower(trim(support_status)) = 'supported' AS ok, count(*) OVER (PARTITION BY absolute_path) > 1 AND source_file_id > min(source_file_id) OVER (PARTITION BY absolute_path) AS p, d IS NOT NULL AND source_file_id > min(source_file_id) OVER (PARTITION BY d) AS c FROM hashed WHERE absolute_path IS NOT NULL)
     SELECT source_file_id, CASE WHEN NOT coalesce(ok, false) THEN 'unsupported_or_blocked' WHEN p THEN 'path_duplicate_alias' WHEN c THEN 'content_duplicate_alias' ELSE 'canonical' END AS role FROM c""")
 def dedup_roles(t: Tables) -> DataFrame:
     f = t.files.where("absolute_path is not null")
     p = f.groupBy("absolute_path").agg(F.min("source_file_id").alias("p"))
-    c = f.where("content_sha256 is not null").groupBy(F.lower("content_sha256").alias("d")).agg(F.min("source_file_id").alias("c"))
-    j = f.withColumn("d", F.lower("content_sha256")).join(p, "absolute_path").join(c, "d", "left")
+    f = f.withColumn("d", hashing.valid_hash(F.col("content_sha256")))
+    c = f.where("d is not null").groupBy("d").agg(F.min("source_file_id").alias("c"))
+    j = f.join(p, "absolute_path").join(c, "d", "left")
     role = identity.dedup_role(F.coalesce(F.lower(F.trim("support_status")) == "supported", F.lit(False)), F.col("source_file_id") > F.col("p"), F.coalesce(F.col("source_file_id") > F.col("c"), F.lit(False)))
     return j.select("source_file_id", role.alias("role"))
 
 
-@query(f"""WITH {FILES}, k AS (SELECT source_file_id, size_bytes::VARCHAR || '/' || coalesce(stem_key, '') AS q, CASE WHEN length(content_sha256) >= 64 THEN lower(content_sha256) END AS h, absolute_path AS p FROM s WHERE size_bytes IS NOT NULL AND absolute_path IS NOT NULL),
+@query(f"""WITH {FILES}, {HASHED}, k AS (SELECT source_file_id, size_bytes::VARCHAR || '/' || coalesce(stem_key, '') AS q, d AS h, absolute_path AS p FROM hashed WHERE size_bytes IS NOT NULL AND absolute_path IS NOT NULL),
     x AS (SELECT *, count(*) OVER (PARTITION BY q) AS peers, sum(CASE WHEN h IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY q) AS failed, count(*) OVER (PARTITION BY q, h) AS same, first_value(source_file_id) OVER (PARTITION BY q, h ORDER BY len(string_split(p, '/')), p, source_file_id) AS c FROM k),
     y AS (SELECT *, CASE WHEN peers = 1 THEN 'unique' WHEN failed > 0 THEN 'blocked_peer_failure' WHEN same = 1 THEN 'unique' WHEN c = source_file_id THEN 'canonical' ELSE 'exact_duplicate' END AS status FROM x)
     SELECT source_file_id, status, CASE WHEN status = 'exact_duplicate' THEN c ELSE source_file_id END AS canonical_id FROM y""")
 def two_stage_identity(t: Tables) -> DataFrame:
     """Size and stem stand for the quick hash, since the tables hold no bytes."""
     f = t.files.where("size_bytes is not null and absolute_path is not null").withColumn("q", F.concat(F.col("size_bytes").cast("string"), F.lit("/"), F.coalesce("stem_key", F.lit(""))))
-    f = f.withColumn("h", F.when(F.length("content_sha256") >= 64, F.lower("content_sha256")))
+    f = f.withColumn("h", hashing.valid_hash(F.col("content_sha256")))
     return identity.two_stage_identity(f, "q", "h", "absolute_path", "source_file_id")
 
 
@@ -253,8 +262,13 @@ def tag_audit(t: Tables) -> DataFrame:
     return t.files.join(a, "source_content_id", "left").select("source_file_id", cls.alias("class"))
 
 
+_NAME = r"trim(regexp_replace(lower(" + narrow("label") + r"), '[\s\x0b\x85\p{Z}_-]+', ' ', 'g'))"
 _PAIRS = f"""WITH {FRAMES}, {LABELS}, r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY t, id) AS r FROM f), p AS (SELECT a.id AS anchor, b.id AS target, abs(a.r - b.r) AS step FROM r a JOIN r b ON a.src = b.src AND a.r <> b.r AND abs(a.r - b.r) <= 3),
-    m AS (SELECT DISTINCT visual_unit_id AS unit, label FROM documents JOIN (SELECT DISTINCT label FROM l) x ON regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(label) || '($|[^a-z0-9])') WHERE visual_unit_id IS NOT NULL AND regexp_full_match(label, '[a-z][a-z ]*')),
+    g AS (SELECT {_NAME} AS n, unnest(list_concat([label, label_zh], {LISTED})) AS term FROM visual_label_terms),
+    y AS (SELECT label, {_NAME} AS n FROM (SELECT DISTINCT label FROM l)),
+    z AS (SELECT DISTINCT label, {SQUEEZED.format('term')} AS term FROM (SELECT label, term FROM y JOIN g USING (n) WHERE n <> '' UNION ALL SELECT label, label FROM y)),
+    o AS (SELECT DISTINCT visual_unit_id AS unit, {SQUEEZED.format('text')} AS x FROM documents WHERE visual_unit_id IS NOT NULL AND text IS NOT NULL AND {STRIP.format("lower(source)")} = 'qwenvl_caption'),
+    m AS (SELECT DISTINCT unit, label FROM o JOIN l USING (unit) JOIN z USING (label) WHERE term NOT IN ('', '人', '车') AND CASE WHEN regexp_matches(term, '[a-z0-9]') THEN regexp_matches(x, '(^|[^a-z0-9])' || regexp_escape(term) || '($|[^a-z0-9])') ELSE contains(x, term) END),
     c AS (SELECT anchor, target, step, label FROM p JOIN m ON m.unit = anchor WHERE EXISTS (SELECT 1 FROM l WHERE l.unit = anchor AND l.label = m.label) AND EXISTS (SELECT 1 FROM l WHERE l.unit = target AND l.label = m.label)),
     i AS (SELECT *, count(*) OVER (PARTITION BY anchor, target) AS overlap FROM c),
     e AS (SELECT *, round(greatest(0.1, least(0.95, CASE step WHEN 1 THEN 0.85::DOUBLE WHEN 2 THEN 0.75::DOUBLE ELSE 0.65::DOUBLE END + CASE WHEN overlap <= 1 THEN -0.05::DOUBLE WHEN overlap >= 3 THEN 0.03::DOUBLE ELSE 0 END)), 3) AS confidence FROM i)"""
@@ -282,10 +296,15 @@ def _squeezed(c: str) -> Column:
 
 
 def _propagated(t: Tables) -> DataFrame:
-    """Only labels of a text's own unit can leave it, so texts meet these by an equi-join on the unit; then each of their terms is tested."""
-    own = t.documents.where("visual_unit_id is not null and text is not null").select(F.col("visual_unit_id").alias("unit"), _squeezed("text").alias("text"))
-    met = own.join(t.labels, "unit").join(_label_terms(t), "label").where(text.term_matches(F.col("text"), F.col("term")))
-    return evidence.propagate(evidence.neighbours(t.frames, "src", "t", "id"), met.select("unit", "label").distinct(), t.labels)
+    """Captions are the anchors (the tables have no status or confidence: each caption passed, each label was seen).
+
+    Only labels of a text's own unit can leave it, so texts meet these by an equi-join on the unit; then each of their terms is tested.
+    """
+    texts = t.documents.select("visual_unit_id", _squeezed("text").alias("text"), F.lower(text.strip(F.col("source"))).alias("modality"), F.lit("PASS").alias("status"))
+    own = evidence.anchor_texts(texts, "visual_unit_id", "text", "modality", "status", ("qwenvl_caption",)).distinct()
+    labels = evidence.confident_labels(t.labels, "unit", "label")
+    met = own.join(labels, "unit").join(_label_terms(t), "label").where(text.term_matches(F.col("text"), F.col("term")))
+    return evidence.propagate(evidence.neighbours(t.frames, "src", "t", "id"), met.select("unit", "label").distinct(), labels)
 
 
 @query(_PAIRS + " SELECT anchor, target, step, overlap, label, confidence FROM e")

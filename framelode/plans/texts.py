@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framelode.functions import hashing, text, times, vectors
 from framelode.operators import audit, evidence
-from framelode.plans.base import FILES, LABELS, QUEUE, Tables, query
+from framelode.plans.base import FILES, HASHED, LABELS, LISTED, QUEUE, SQUEEZED, Tables, narrow, query
 
 STRIP = r"regexp_replace({0}, '^[\s\x0b\x85\p{{Z}}]+|[\s\x0b\x85\p{{Z}}]+$', '', 'g')"
 _LINES = "list_filter(list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: " + STRIP.format("regexp_replace(x, '[ \\t]+', ' ', 'g')") + "), lambda x: x <> '')"
@@ -30,30 +30,35 @@ def nfkc_texts(t: Tables) -> DataFrame:
     return d.withColumn("folded", text.casefold("normal"))
 
 
-@query("SELECT doc_id, contains(lower(text), 'tent') AS has_word, list_contains(regexp_split_to_array(text, '[^\\p{L}\\p{N}]+'), '人') AS has_sign FROM documents WHERE text IS NOT NULL")
+_FOLDED = f"lower({narrow('text')})"
+
+
+@query(f"SELECT doc_id, contains({_FOLDED}, 'tent') AS has_word, list_contains(regexp_split_to_array({_FOLDED}, '[\\s\\x0b\\x85\\p{{Z}},，。:：;；/|()（）\\[\\]{{}}<>《》]+'), '人') AS has_sign FROM documents WHERE text IS NOT NULL")
 def exact_queries(t: Tables) -> DataFrame:
     d = t.documents.where("text is not null")
     return d.select("doc_id", text.has_exact_query(F.col("text"), " Ｔｅｎｔ ").alias("has_word"), text.has_exact_query(F.col("text"), "人").alias("has_sign"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, lower(text) AS x FROM documents WHERE text IS NOT NULL), v AS (SELECT DISTINCT lower(trim(label)) AS term FROM visual_label_terms WHERE trim(label) <> '')
+@query(f"""WITH d AS (SELECT doc_id, lower(text) AS x FROM documents WHERE text IS NOT NULL), v AS (SELECT DISTINCT term FROM (SELECT {SQUEEZED.format("unnest(list_concat([label, label_zh], " + LISTED + "))")} AS term FROM visual_label_terms) WHERE term <> '')
     SELECT doc_id, term FROM d JOIN v ON regexp_matches(x, '(^|[^a-z0-9])' || regexp_escape(term) || '($|[^a-z0-9])') WHERE regexp_matches(term, '[a-z0-9]') UNION ALL SELECT doc_id, term FROM d JOIN v ON contains(x, term) WHERE NOT regexp_matches(term, '[a-z0-9]')""")
 def mentioned_terms(t: Tables) -> DataFrame:
-    """Terms of the registry against every document."""
-    return evidence.mentions(t.documents, "doc_id", "text", t.visual_label_terms.select("label"))
+    """Terms of the registry (labels, translations, search terms) against every document."""
+    listed = F.coalesce(F.from_json("search_terms_json", "array<string>"), F.array().cast("array<string>"))
+    terms = t.visual_label_terms.select(F.explode(F.concat(F.array("label", "label_zh"), listed)).alias("term"))
+    return evidence.mentions(t.documents, "doc_id", "text", terms.select(F.trim(F.regexp_replace(F.lower("term"), r"(?U)[\s\x1c-\x1f]+", " ")).alias("term")))
 
 
-_CJK = "[\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}]"
+_CJK = "[\\x{3400}-\\x{9FFF}]"
 _COUNT = lambda p: f"length(regexp_replace(text, '[^{p}]', '', 'g'))"
 _METRICS = rf"""SELECT doc_id, text, source, length(text) AS text_len, {_COUNT(_CJK[1:-1])} AS cjk_count, {_COUNT('A-Za-z')} AS latin_count, {_COUNT('0-9')} AS digit_count,
     len(list_distinct(list_filter(regexp_split_to_array(text, ''), lambda x: x <> ''))) AS unique_char_count, list_filter(list_transform(regexp_split_to_array(text, '[\n;；|]'), lambda x: {STRIP.format('x')}), lambda x: x <> '') AS lines FROM documents WHERE text IS NOT NULL"""
 
 
-@query(f"""SELECT doc_id, text_len, cjk_count, latin_count, digit_count, CASE WHEN text_len > 0 THEN round(cjk_count / text_len, 4) ELSE 0 END AS cjk_ratio,
+@query(f"""SELECT doc_id, text_len, cjk_count, latin_count, digit_count, len(regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}]+')) AS punct_count, CASE WHEN text_len > 0 THEN round(cjk_count / text_len, 4) ELSE 0 END AS cjk_ratio,
     len(lines) AS line_count, len(list_distinct(lines)) AS unique_line_count, CASE WHEN len(lines) > 0 THEN round(1 - len(list_distinct(lines)) / len(lines), 4) ELSE 0 END AS repeat_line_ratio FROM ({_METRICS})""")
 def character_metrics(t: Tables) -> DataFrame:
     m = text.char_metrics(F.col("text"))
-    keep = ("text_len", "cjk_count", "latin_count", "digit_count", "cjk_ratio", "line_count", "unique_line_count", "repeat_line_ratio")
+    keep = ("text_len", "cjk_count", "latin_count", "digit_count", "punct_count", "cjk_ratio", "line_count", "unique_line_count", "repeat_line_ratio")
     return t.documents.where("text is not null").select("doc_id", *[m[k].alias(k) for k in keep])
 
 
@@ -121,11 +126,11 @@ def text_digests(t: Tables) -> DataFrame:
     return t.documents.where("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
-@query(f"""WITH {FILES}, h AS (SELECT source_file_id, lower(substring(content_sha256, 1, 16)) AS a, lower(substring(content_sha256, 17, 16)) AS b FROM s WHERE regexp_full_match(lower(content_sha256), '[0-9a-f]{{64}}'))
+@query(f"""WITH {FILES}, {HASHED}, h AS (SELECT source_file_id, substring(d, 1, 16) AS a, substring(d, 17, 16) AS b FROM hashed WHERE d IS NOT NULL)
     SELECT source_file_id, bit_count(xor(('0x' || a)::UBIGINT, ('0x' || b)::UBIGINT))::INT AS distance FROM h""")
 def hash_distances(t: Tables) -> DataFrame:
-    h = t.files.where(F.lower("content_sha256").rlike("^[0-9a-f]{64}$"))
-    return h.select("source_file_id", hashing.hamming_hex(F.substring("content_sha256", 1, 16), F.substring("content_sha256", 17, 16)).alias("distance"))
+    h = t.files.withColumn("d", hashing.valid_hash(F.col("content_sha256"))).where("d is not null")
+    return h.select("source_file_id", hashing.hamming_hex(F.substring("d", 1, 16), F.substring("d", 17, 16)).alias("distance"))
 
 
 @query(f"""WITH {QUEUE} SELECT candidate_id, CASE WHEN time_position_ms >= 3600000 THEN printf('%02d:%02d:%02d', time_position_ms // 3600000, time_position_ms // 60000 % 60, time_position_ms // 1000 % 60) WHEN time_position_ms >= 0 THEN printf('%02d:%02d', time_position_ms // 60000, time_position_ms // 1000 % 60) ELSE '--:--' END AS code,

@@ -2,28 +2,45 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from framelode.functions import text, vectors
+from framelode.functions import vectors
 
-# What extensions hold.
+# What extensions hold, in the order in which they are tried.
 KINDS = {
-    "video": ("mp4", "mov", "mkv", "avi", "m4v", "mts", "webm"), "image": ("jpg", "jpeg", "png", "heic", "tif", "tiff", "webp", "gif"),
-    "audio": ("wav", "mp3", "m4a", "aac", "flac"), "sidecar": ("xmp", "srt", "vtt", "json", "xml"), "text": ("txt", "md", "csv", "tsv"), "archive": ("zip", "tar", "gz", "7z", "rar"),
+    "video": ("mov", "mp4", "m4v", "avi", "mkv", "mts", "m2ts", "insv", "mxf", "braw", "r3d", "crm", "ari"),
+    "image": ("jpg", "jpeg", "png", "tif", "tiff", "heic", "heif", "hif", "dng", "arw", "cr2", "cr3", "nef", "nrw", "rw2", "raf", "orf", "webp", "bmp", "gif"),
+    "audio": ("wav", "mp3", "m4a", "aac", "flac", "aiff", "aif", "ogg", "opus", "wma"),
+    "metadata_sidecar": ("xmp", "xaml", "aae", "dop", "cos", "pp3", "on1", "lmnr"),
+    "text": ("txt", "srt", "vtt", "ass", "ssa", "json", "csv", "tsv", "xml", "xmp", "md", "rtf", "log", "cue", "edl", "fcpxml", "otio"),
+    "archive": ("zip", "rar", "7z", "tar", "gz", "bz2", "xz", "dmg", "iso"),
 }
 IGNORED = (".ds_store", "thumbs.db", "desktop.ini")
 
 
 def media_kind(name: Column, size: Column, failed: Column) -> tuple[Column, Column, Column]:
-    """Kind, support status and reason, in the order: ignored names, unreadable files, empty files, then the extension."""
-    ext = F.regexp_replace(text.extension(name), r"^\.", "")
-    kind = F
+    """Kind, support status and reason, in the order: ignored names, unreadable files, empty files, then the extension.
+
+    A sidecar is linked to what it describes and is no input itself; archives and other extensions are unsupported.
+    """
+    ext = F.lower(F.regexp_extract(name, r"[^./][^/]*\.([^./]+)$", 1))
+    held = F
     for k, exts in KINDS.items():
-        kind = kind.when(ext.isin(*exts), k)
-    kind = kind.otherwise("other")
-    reason = F.when(F.lower(name).isin(*IGNORED), "ignored_name").when(failed, "stat_failed").when(size == 0, "zero_byte").when(kind == "other", "unknown_extension").otherwise("")
-    return kind, F.when(reason == "", "supported").otherwise("unsupported_or_blocked"), reason
+        held = held.when(ext.isin(*exts), k)
+    held = held.otherwise("other")
+    refused = F.when(F.lower(name).isin(*IGNORED), "system_sidecar_ignored_name").when(failed, "stat_failed").when(size.isNull(), "size_unknown").when(size == 0, "zero_byte_file")
+    reason = F.coalesce(
+        refused, F.when(held == "metadata_sidecar", "linked_metadata_sidecar_not_processing_queue").when(held == "archive", "archive_or_disk_image_not_processed").when(held != "other", "")
+        .when(ext == "", "missing_extension").otherwise(F.concat(F.lit("unsupported_extension:."), ext)),
+    )
+    status = F.when(reason == "", "supported").when(reason.isin("stat_failed", "size_unknown"), "blocked").when(reason.startswith("linked_"), "metadata_sidecar").otherwise("unsupported")
+    return F.when(status.isin("supported", "metadata_sidecar"), held).otherwise("unsupported"), status, reason
 
 
 def scan_files(spark: SparkSession, roots: list[str], content: bool = False) -> DataFrame:
@@ -57,18 +74,39 @@ def read_rows(spark: SparkSession, path: str) -> DataFrame:
 VECTOR_SCHEMA = "embedding_id string, visual_unit_id string, source_content_id string, dimension int, vector array<double>, vector_sha256 string, run_id string"
 
 
-def read_vectors(spark: SparkSession, path: str, index: DataFrame, run_id: str, dimension: int) -> DataFrame:
-    """The vectors of ``index`` from a JSON-lines payload, each with ``problem`` (null if sound).
+@F.pandas_udf(T.StringType())
+def vector_digest(vectors_: pd.Series) -> pd.Series:
+    """The SHA-256 of a vector written as compact JSON, as payloads carry it. The shortest decimal form of a float is Python's, not the JVM's."""
+    return vectors_.map(lambda v: None if v is None else hashlib.sha256(json.dumps([float(x) for x in v], separators=(",", ":")).encode()).hexdigest())
 
-    A vector is sound if it is there once, of this run, of the right length, finite and of unit length to 0.001.
+
+def check_vectors(spark: SparkSession, path: str, index: DataFrame, run_id: str, dimension: int) -> DataFrame:
+    """``index`` (embedding_id, visual_unit_id, ...) with the vector of each from a JSON-lines payload, and ``problem``, null if it is sound.
+
+    A row of the payload is sound if it is of this unit and run, of the right length, finite, of unit length to 0.001,
+    and has the digest it carries. A vector must be there, sound, and only once.
     """
-    rows = spark.read.schema(VECTOR_SCHEMA).json(path)
-    counted = rows.groupBy("embedding_id").agg(F.count("*").alias("copies"), F.first("vector").alias("vector"), F.first("run_id").alias("run"))
-    problem = (
-        F.when(F.col("copies").isNull(), "missing").when(F.col("copies") > 1, "duplicate").when(F.col("run") != run_id, "other_run")
-        .when(~vectors.is_valid(F.col("vector"), dimension), "invalid")
+    rows = spark.read.schema(VECTOR_SCHEMA).json(path).select("embedding_id", F.col("visual_unit_id").alias("unit"), "vector", "vector_sha256", F.col("run_id").alias("run"))
+    met = index.join(rows, "embedding_id", "left")
+    sound = (
+        F.col("unit").eqNullSafe(F.col("visual_unit_id")) & F.col("run").eqNullSafe(F.lit(run_id)) & F.coalesce(vectors.is_valid(F.col("vector"), dimension), F.lit(False))
+        & F.col("vector_sha256").eqNullSafe(vector_digest(F.col("vector")))
     )
-    return index.join(counted, "embedding_id", "left").withColumn("problem", problem).drop("copies", "run")
+    judged = met.withColumn("sound", sound)
+    found = judged.groupBy("embedding_id").agg(F.count("vector").alias("copies"), F.sum(F.col("sound").cast("int")).alias("good"), F.min(F.when(F.col("sound"), F.col("vector"))).alias("vector"))
+    problem = F.when(F.col("copies") == 0, "missing").when(F.col("good") < F.col("copies"), "invalid").when(F.col("copies") > 1, "duplicate")
+    return index.join(found, "embedding_id").withColumn("problem", problem).drop("copies", "good")
+
+
+def read_vectors(spark: SparkSession, path: str, index: DataFrame, run_id: str, dimension: int) -> DataFrame:
+    """The vectors of ``check_vectors``, if all are sound and no unit has two; else an error that counts the problems."""
+    checked = check_vectors(spark, path, index, run_id, dimension)
+    bad = {r["problem"]: r["count"] for r in checked.where("problem is not null").groupBy("problem").count().collect()}
+    if twice := checked.groupBy("visual_unit_id").count().where("count > 1").count():
+        bad["units_with_two_vectors"] = twice
+    if bad:
+        raise ValueError("bad vectors: " + ", ".join(f"{k}={n}" for k, n in sorted(bad.items())))
+    return checked.drop("problem")
 
 
 def lenient_vectors(df: DataFrame, vector: str) -> DataFrame:

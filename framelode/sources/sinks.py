@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from framelode.functions import hashing
@@ -21,20 +21,39 @@ def table_digest(df: DataFrame) -> str:
 
 
 def commit(df: DataFrame, path: str) -> str:
-    """Write beside the target, read back and compare, then rename: the target is whole or absent."""
+    """Write beside the target, read back and compare, then rename. The table before is kept as ``.before`` until the new one is in place.
+
+    The rows are made once: their digest is observed while they are written.
+    """
     spark = df.sparkSession
+    restore(spark, path)
     draft = f"{path}.draft"
-    df.write.mode("overwrite").parquet(draft)
+    seen = Observation()
+    df.observe(seen, hashing.multiset_digest(*[F.col(c) for c in sorted(df.columns)]).alias("digest")).write.mode("overwrite").parquet(draft)
     digest = table_digest(spark.read.parquet(draft))
-    if digest != table_digest(df):
+    if digest != seen.get["digest"]:
         raise OSError(f"{draft} doesn't hold what was written")
     fs, target = _fs(spark, path)
-    fs.delete(target, True)
+    before = _fs(spark, f"{path}.before")[1]
+    if fs.exists(target) and not fs.rename(target, before):
+        raise OSError(f"{path} can't be put aside")
     if not fs.rename(_fs(spark, draft)[1], target):
+        fs.rename(before, target)
         raise OSError(f"{draft} can't be renamed")
+    fs.delete(before, True)
     return digest
 
 
+def restore(spark: SparkSession, path: str) -> bool:
+    """Puts back the table that a commit had put aside when it was cut off; whether there was one."""
+    fs, target = _fs(spark, path)
+    before = _fs(spark, f"{path}.before")[1]
+    if fs.exists(before) and not fs.exists(target):
+        return bool(fs.rename(before, target))
+    fs.delete(before, True)
+    return False
+
+
 def commit_once(df: DataFrame, path: str) -> str:
     """COMMITTED, or IDEMPOTENT_PASS if the target already holds these rows."""
     spark = df.sparkSession

@@ -14,7 +14,7 @@ def values(spark, rows, schema, *columns):
     return [tuple(r) for r in spark.createDataFrame(rows, schema).select(*columns).collect()]
 
 
-@pytest.mark.parametrize("query, body, found", [("人", "人民公园", False), ("人", "行人在路上", False), ("人", "相邻对象：人（person）", True), ("小麦", "金色小麦田", True), ("Tent", "a TENT here", True), ("", "x", False)])
+@pytest.mark.parametrize("query, body, found", [("人", "人民公园", False), ("人", "行人在路上", False), ("人", "相邻对象：人（person）", True), ("小麦", "金色小麦田", True), ("Tent", "a TENT here", True), ("", "x", False), ("tent", "ＴＥＮＴ", True), ("STRASSE", "in der Straße", True), ("人", "一｜人［x］", True), ("ﬁn", "FIN", True)])
 def test_exact_query(spark, query, body, found):
     assert values(spark, [(body,)], "t string", text.has_exact_query(F.col("t"), query)) == [(found,)]
 
@@ -40,11 +40,14 @@ def test_longest_run_and_degenerate(spark):
 
 
 def test_quality_adds_its_penalties(spark):
-    rows = [("", True), ("12345678901234567890", True), ("a good long caption of a scene", False), ("!!!!!!!!!!", True)]
+    rows = [("", True), ("12345678901234567890", True), ("a good long caption of a scene", False), ("!!!!!!!!!!", True), ("画面中有一座帐篷，旁边是一辆红色的卡车，天气晴朗。", False), ("看起来像一座桥，无法判断在哪里，也无法确定时间和地点。", False), ("12:30 / 4-5", True), ("word word", True)]
     q = text.text_quality(F.col("t"), F.col("o"))
     assert values(spark, rows, "t string, o boolean", q["quality_score"], q["quality_status"], q["quality_reasons"]) == [
-        (125, "suspicious_high", "empty_text|too_short"), (50, "suspicious_medium", "mostly_digits|no_language_chars"), (0, "ok", ""), (60, "suspicious_high", "long_repeated_char_run|no_language_chars"),
+        (125, "suspicious_high", "empty_text|too_short"), (85, "suspicious_high", "ocr_noise_pattern|mostly_digits|no_language_chars"), (0, "ok", ""), (95, "suspicious_high", "long_repeated_char_run|ocr_noise_pattern|no_language_chars"),
+        (25, "review_low", "generic_short_caption"), (50, "suspicious_medium", "generic_short_caption|uncertain_or_refusal_like"), (70, "suspicious_high", "ocr_noise_pattern|no_language_chars"), (0, "ok", ""),
     ]
+    m = text.char_metrics(F.col("t"))
+    assert values(spark, [("a, b_c…!  é",)], "t string", m["punct_count"], m["text_len"], m["unique_char_count"]) == [(3, 11, 9)]
 
 
 def test_answers_are_cleaned(spark):
@@ -52,6 +55,8 @@ def test_answers_are_cleaned(spark):
     m = text.run_metrics(F.col("t"))
     assert values(spark, [(raw,)], "t string", text.clean_answer(F.col("t")), *m.values()) == [("A man.\n\nAt  now.", 12, 3.5, 30, 40.25, 7.5)]
     assert values(spark, [("x",)], "t string", *m.values()) == [(None,) * 5]
+    raws = [("ASSISTANT:\nno\nassistant\nyes\nassistant\nagain",), ("===\nFiles: ['a.jpg']\n\nOnly this",), ("Files: [x\ny]\nThat\nGeneration: 3 tokens",), ("Assistant:\nHello<|endoftext|>x",)]
+    assert values(spark, raws, "t string", text.clean_answer(F.col("t"))) == [("yes\nassistant\nagain",), ("Only this",), ("That",), ("Hello",)]
 
 
 def test_paths(spark):

@@ -2,11 +2,12 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from framelode.operators import aggregates, evidence, greedy, identity, selection, tables, windows
+from framelode.operators import aggregates, evidence, greedy, identity, search, selection, tables, windows
 
 
 def rows_of(df):
@@ -158,3 +159,60 @@ def test_mentions_equal_term_by_term_search(spark):
     docs = spark.createDataFrame([(1, "A red car, parked."), (2, "cardboard"), (3, "paper kite 汽车"), (4, None)], "d long, x string")
     terms = spark.createDataFrame([("car",), ("Paper Kite",), ("汽车",), ("",), (None,)], "t string")
     assert rows_of(evidence.mentions(docs, "d", "x", terms)) == [(1, "car"), (3, "paper kite"), (3, "汽车")]
+    r = random.Random(9)
+    texts = ["".join(r.choice("ab1 车人汽-é") for _ in range(r.randrange(12))) for _ in range(150)]
+    names = sorted({"".join(r.choice("ab1 车人汽-é") for _ in range(r.randrange(1, 4))).strip() for _ in range(60)} - {""})
+    docs = spark.createDataFrame(list(enumerate(texts)), "d long, x string")
+
+    def mentions(text, term):
+        return re.search(rf"(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])", text) if re.search("[a-z0-9]", term) else term in text
+
+    got = rows_of(evidence.mentions(docs, "d", "x", spark.createDataFrame([(n,) for n in names], "t string")))
+    assert got == sorted((i, n) for i, t in enumerate(texts) for n in names if mentions(t, n))
+
+
+def test_only_passed_captions_and_confident_labels_propagate(spark):
+    rows = [("f1", "a car", "qwenvl", "PASS"), ("f2", "a car", "qwenvl", "REVIEW"), ("f3", "a car", "ocr", "PASS"), (None, "x", "qwenvl", "PASS"), ("f4", None, "qwenvl", "PASS")]
+    df = spark.createDataFrame(rows, "u string, t string, m string, s string")
+    assert rows_of(evidence.anchor_texts(df, "u", "t", "m", "s")) == [("f1", "a car")]
+    labels = spark.createDataFrame([("f1", "Car", 0.2), ("f1", "car", 0.35), ("f1", "bus", 0.34), ("f1", "tent", None)], "u string, l string, c double")
+    assert rows_of(evidence.confident_labels(labels, "u", "l", "c")) == [("f1", "car")]
+
+
+def test_search_pages(spark):
+    config = search.SearchConfig()
+    hits = spark.createDataFrame([(i, 0.9 - i / 100, None if i % 3 else 0.5 + i / 1000, None, i == 4, "video" if i % 2 else "image") for i in range(40)], "k long, visual double, text double, object double, exact_text boolean, media string")
+    got = {r.k: r for r in search.fuse(hits, "k", config).collect()}
+    text = sorted((i for i in range(40) if i % 3 == 0), key=lambda i: -i)
+    for i in range(40):
+        want = 1 / (60 + i + 1) + (0.8 / (60 + text.index(i) + 1) if i in text else 0)
+        assert got[i].rrf == pytest.approx(want) and got[i].rank_visual == i + 1
+    with pytest.raises(ValueError):
+        search.fuse(hits.withColumn("text", F.lit(float("nan"))), "k", config)
+    relevant = search.fuse(hits, "k", config).withColumn("reasons", search.gate(config)).where("reasons <> ''").withColumn("relevance", search.relevance())
+    assert [r.k for r in relevant.where("k = 4 or k = 30").orderBy(*search.reranked("k")).collect()] == [4, 30]
+    page = relevant.orderBy(*search.reranked("k")).limit(5)
+    assert sum(r.shown for r in search.media_counts(relevant, "media", page).collect()) == 5
+    assert hits.where("k in (1, 4)").select(search.hit_fields(F.lit("exact_text|visual|text"))).first()[0] == "text,visual_vector,semantic_text"
+    groups = search.text_groups(spark.createDataFrame([("a", 1, 0.5, False), ("a", 2, 0.4, True), ("b", 3, 0.9, False), ("a", 0, 0.1, False)], "g string, d long, s double, e boolean"), "g", "d", "s", "e", 2)
+    assert [tuple(r) for r in search.exact_first(groups, "g", "score", "exact", 5).collect()] == [("a", 0.5, True, 3, [0, 1]), ("b", 0.9, False, 1, [3])]
+    assert [r.g for r in search.exact_first(groups, "g", "score", "exact", 1, 1).collect()] == ["b"]
+    with pytest.raises(Exception, match="outside"):
+        search.text_groups(spark.createDataFrame([("a", 1, 1.5, False)], "g string, d long, s double, e boolean"), "g", "d", "s", "e", 2).collect()
+
+
+def test_registered_terms_name_objects(spark):
+    registry = spark.createDataFrame([("car", "车", '["auto"]', "vehicle Fahrzeug"), ("bus", None, "[broken", None)], "label string, label_zh string, search_terms_json string, embedding_text string")
+    labels = spark.createDataFrame([("u1", "car", 0.4), ("u1", "car", 0.8), ("u2", "bus", 0.9)], "unit string, label string, confidence double")
+    for query, found in (("ＡＵＴＯ", [("u1", 0.8)]), ("fahrzeug", [("u1", 0.8)]), ("bus", [("u2", 0.9)]), ("broken", []), ("", [])):
+        assert rows_of(search.object_evidence(labels, search.registry_terms(registry), query, "unit")) == found
+
+
+def test_nearest_rows_are_complete(spark):
+    r = random.Random(4)
+    left = [(r.choice("ab"), i, r.randrange(50)) for i in range(60)]
+    right = [(r.choice("abc"), 100 + i, r.choice([r.randrange(50), 7, 7, 10_000])) for i in range(80)]
+    a, b = (spark.createDataFrame(x, "s string, k long, t long") for x in (left, right))
+    got = rows_of(search.nearest_rows(a, b, "s", "t", "k", 4).select("id", "near", "position"))
+    want = [(k, y[1], p + 1) for s, k, t in left for p, y in enumerate(sorted((y for y in right if y[0] == s), key=lambda y: (abs(y[2] - t), y[2], y[1]))[:4])]
+    assert got == sorted(want)

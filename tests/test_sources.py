@@ -1,5 +1,6 @@
 """Readers, sinks, streams, and that every registered query has SQL of the same columns or is known to have none."""
 
+import hashlib
 import json
 
 import pytest
@@ -17,9 +18,12 @@ def test_scan_reads_each_path_once(spark, tmp_path):
     got = readers.scan_files(spark, [str(tmp_path), str(tmp_path / "sub")], content=True).collect()
     assert sorted((r.path.rsplit("/", 1)[1], r.size_bytes) for r in got) == [("a.mp4", 70_000), ("b.jpg", 1)]
     kind, status, reason = readers.media_kind(F.col("n"), F.col("s"), F.col("s").isNull())
-    df = spark.createDataFrame([("A.MP4", 1), ("b.jpg", 0), (".DS_Store", 5), ("c", 4), ("d.xmp", None)], "n string, s long")
+    names = [("A.MP4", 1), ("b.jpg", 0), (".DS_Store", 5), ("c", 4), ("d.xmp", None), ("e.xmp", 3), ("f.M2TS", 1), ("g.cr2", 1), ("h.webm", 1), ("i.srt", 1), ("j.7z", 1), (".mov", 1), ("k.", 1), ("l.opus", 1)]
+    df = spark.createDataFrame(names, "n string, s long")
     assert [tuple(r) for r in df.select(kind, status, reason).collect()] == [
-        ("video", "supported", ""), ("image", "unsupported_or_blocked", "zero_byte"), ("other", "unsupported_or_blocked", "ignored_name"), ("other", "unsupported_or_blocked", "unknown_extension"), ("sidecar", "unsupported_or_blocked", "stat_failed"),
+        ("video", "supported", ""), ("unsupported", "unsupported", "zero_byte_file"), ("unsupported", "unsupported", "system_sidecar_ignored_name"), ("unsupported", "unsupported", "missing_extension"), ("unsupported", "blocked", "stat_failed"),
+        ("metadata_sidecar", "metadata_sidecar", "linked_metadata_sidecar_not_processing_queue"), ("video", "supported", ""), ("image", "supported", ""), ("unsupported", "unsupported", "unsupported_extension:.webm"), ("text", "supported", ""),
+        ("unsupported", "unsupported", "archive_or_disk_image_not_processed"), ("unsupported", "unsupported", "missing_extension"), ("unsupported", "unsupported", "missing_extension"), ("audio", "supported", ""),
     ]
 
 
@@ -31,17 +35,31 @@ def test_rows_in_any_notation(spark, tmp_path):
 
 
 def test_vectors_are_checked(spark, tmp_path):
-    rows = [("e1", [1.0, 0.0], "r"), ("e2", [2.0, 0.0], "r"), ("e3", [0.0, 1.0], "old"), ("e4", [0.0, 1.0], "r"), ("e4", [0.0, 1.0], "r")]
-    (tmp_path / "v.jsonl").write_text("\n".join(json.dumps({"embedding_id": i, "vector": v, "run_id": r}) for i, v, r in rows))
-    index = spark.createDataFrame([(f"e{i}",) for i in range(1, 6)], "embedding_id string")
-    got = {r.embedding_id: r.problem for r in readers.read_vectors(spark, str(tmp_path / "v.jsonl"), index, "r", 2).collect()}
-    assert got == {"e1": None, "e2": "invalid", "e3": "other_run", "e4": "duplicate", "e5": "missing"}
+    def row(i, v, run="r", unit=None, sha=None):
+        return {"embedding_id": i, "visual_unit_id": unit or f"u{i[1:]}", "vector": v, "run_id": run, "vector_sha256": sha or hashlib.sha256(json.dumps(v, separators=(",", ":")).encode()).hexdigest()}
+
+    path, odd = str(tmp_path / "v.jsonl"), [0.6000000000000001, 0.7999999999999999]
+    rows = [row("e1", [1.0, 0.0]), row("e2", [2.0, 0.0]), row("e3", [0.0, 1.0], run="old"), row("e4", odd), row("e4", odd), row("e6", [0.0, 1.0], sha="0" * 64), row("e7", [0.0, 1.0], unit="u1"), row("e8", odd)]
+    (tmp_path / "v.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    index = spark.createDataFrame([(f"e{i}", f"u{i}") for i in range(1, 9)], "embedding_id string, visual_unit_id string")
+    got = {r.embedding_id: r.problem for r in readers.check_vectors(spark, path, index, "r", 2).collect()}
+    assert got == {"e1": None, "e2": "invalid", "e3": "invalid", "e4": "duplicate", "e5": "missing", "e6": "invalid", "e7": "invalid", "e8": None}
+    with pytest.raises(ValueError, match="duplicate=1, invalid=4, missing=1"):
+        readers.read_vectors(spark, path, index, "r", 2)
+    assert sorted((r.embedding_id, r.vector) for r in readers.read_vectors(spark, path, index.where("embedding_id in ('e1', 'e8')"), "r", 2).collect()) == [("e1", [1.0, 0.0]), ("e8", odd)]
+    lenient = readers.lenient_vectors(spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],), (None,)], "v array<double>"), "v")
+    assert [r.v for r in lenient.collect()] == [[0.6, 0.8]]
 
 
 def test_commits_are_idempotent_and_snapshots_hold(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, None)], "i int, s string")
     path = str(tmp_path / "t")
     assert [sinks.commit_once(df, path), sinks.commit_once(df.orderBy(F.desc("i")), path), sinks.commit_once(df.union(df), path)] == ["COMMITTED", "IDEMPOTENT_PASS", "COMMITTED"]
+    other = spark.createDataFrame([(1, "b"), (2, None)], "i int, s string")
+    assert sinks.table_digest(other) != sinks.table_digest(df) == sinks.table_digest(df.repartition(3))
+    fs, _ = sinks._fs(spark, path)
+    fs.rename(sinks._fs(spark, path)[1], sinks._fs(spark, f"{path}.before")[1])  # a commit that was cut off before its rename
+    assert sinks.restore(spark, path) and spark.read.parquet(path).count() == 4 and not sinks.restore(spark, path)
     sinks.snapshot(df, str(tmp_path / "s"))
     assert sinks.read_snapshot(spark, str(tmp_path / "s")).count() == 2
     with pytest.raises(Exception, match="(?i)exist"):
@@ -80,3 +98,9 @@ def test_every_query_gives_columns(spark):
     assert set(sql) <= set(made) and len(sql) > 100
     for name in ("hybrid_search", "density_selection", "unit_documents", "gap_sessions"):
         assert made[name](spark, d).columns
+
+
+def test_lost_rows_come_back_from_a_manifest(spark):
+    table, manifest = spark.createDataFrame([("a", 1)], "k string, n int"), spark.createDataFrame([("a", 9), ("b", 2), ("b", 2), ("c", 3)], "k string, n int")
+    asked = spark.createDataFrame([("a",), ("b",), ("b",), ("z",)], "k string")
+    assert sorted(tuple(r) for r in sinks.restore_missing(table, "k", asked, manifest).collect()) == [("a", 1), ("b", 2)]

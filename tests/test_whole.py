@@ -23,7 +23,7 @@ def test_every_term_of_the_registry_is_a_mention(spark, tmp_path):
         visual_units=([(f"f{i}", "s", i * 1000, 1.0, 1.0, 0) for i in range(2)], UNITS),
         yolo_visual_unit_label=([(f"f{i}", x) for i in range(2) for x in labels], "visual_unit_id string, label string"),
         visual_label_terms=([("car", "汽车", '["auto  mobile"]'), ("truck", "卡车", None), ("red lantern", "红灯笼", "[broken"), ("person", "人", '["human"]'), ("boat", None, '["ship"]')], "label string, label_zh string, search_terms_json string"),
-        documents=([("f0", "旁边有汽车和卡车。"), ("f0", "一盏红灯笼，kite2. 有人 spaceship"), ("f1", "An AUTO\nMOBILE, a human; a carpet"), ("f1", None), (None, "ship")], "visual_unit_id string, text string"),
+        documents=([("f0", "旁边有汽车和卡车。", " QwenVL_caption "), ("f0", "一盏红灯笼，kite2. 有人 spaceship", "qwenvl_caption"), ("f1", "An AUTO\nMOBILE, a human; a carpet", "qwenvl_caption"), ("f1", "a truck, a boat", "ocr_text"), ("f1", "a boat", "propagated_labels"), ("f1", None, "qwenvl_caption"), (None, "ship", "qwenvl_caption")], "visual_unit_id string, text string, source string"),
     )
     got = rows_of(registry.queries()["propagated_labels"](spark, d).select("anchor", "target", "label"))
     assert got == sorted([("f0", "f1", x) for x in ("car", "ｔｒｕｃｋ", "red-lantern", "kite2")] + [("f1", "f0", x) for x in ("car", "person")])
