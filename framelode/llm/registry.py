@@ -113,9 +113,9 @@ def queries() -> dict:
 _STRIP = r"regexp_replace({0}, '^[\s\x0b\x1c-\x1f\x85\p{{Z}}]+|[\s\x0b\x1c-\x1f\x85\p{{Z}}]+$', '', 'g')"
 _QUEUE = f"""
 WITH q AS (
-  SELECT * EXCLUDE (queue_type, rn) REPLACE (lower(source_content_id) AS source_content_id), lower({_STRIP.format('queue_type')}) AS queue_type
+  SELECT * EXCLUDE (queue_type, rn), lower({_STRIP.format('queue_type')}) AS queue_type
   FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY TRY_CAST(created_at AS TIMESTAMPTZ) DESC NULLS LAST) AS rn FROM {QUEUE} WHERE candidate_id IS NOT NULL) WHERE rn = 1)
-""".replace(" REPLACE (lower(source_content_id) AS source_content_id)", "")
+"""
 _LABELS = r"""
 WITH l AS (
   SELECT DISTINCT visual_unit_id AS u, trim(regexp_replace(lower(label), '[\s\p{Z}_-]+', ' ', 'g')) AS x FROM (
@@ -173,7 +173,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT source_content_id, queue_type, candidate_id FROM k WHERE rn <= 3""",
         "p2_found": labels + """SELECT label_a, label_b FROM p, n, s a, s b WHERE a.x = label_a AND b.x = label_b AND c >= 5 AND 2000 * c >= n AND c * n >= 4 * a.s * b.s""",
         "p2_cooccurrence": labels + """SELECT label_a, label_b, c, a.s AS a, b.s AS b, n, round(c * n / (a.s::DOUBLE * b.s), 6) AS lift, round(log2(c * n / (a.s::DOUBLE * b.s)), 6) AS pmi
-            FROM p, n, s a, s b WHERE a.x = label_a AND b.x = label_b AND c >= 5""",
+            FROM p, n, s a, s b WHERE a.x = label_a AND b.x = label_b""",
         "p3_found": _FILES,
         "p4_found": _GROUPS,
         "p6_found": _RUNS + "SELECT source_content_id, queue_type, first_candidate_id, last_candidate_id FROM e WHERE frames > 1",

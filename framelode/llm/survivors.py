@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelode.functions.hashing import valid_hash
 from framelode.llm.cleaning import latest, strip
 from framelode.runtime import Scratch
 
@@ -198,12 +199,6 @@ def survivors(df: DataFrame, policy: Policy, scratch: Scratch | None = None) ->
 HASH_FIELDS = ("size_bytes", "mtime_ns", "ctime_ns", "stem_key", "finder_tags_json")
 
 
-def valid_hash(c: Column) -> Column:
-    """The 64 hex digits of a SHA-256, trimmed, in lower case and without ``sha256:``; null if they aren't."""
-    text = F.regexp_replace(F.lower(strip(c)), "^sha256:", "")
-    return F.when(text.rlike("^[0-9a-f]{64}$"), text)
-
-
 def content_files(files: DataFrame) -> DataFrame:
     """Each file once, by its row with the latest updated_at, with ``content_hash``: its own, or that of the file its canonical id names.
 
