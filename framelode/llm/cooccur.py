@@ -3,9 +3,9 @@
 Items are made distinct per basket, ordered pairs are emitted and counted (combined
 before the shuffle), and lift and pointwise mutual information follow from the single
 counts. An item can only be in a wanted pair if it is frequent enough itself, so rarer
-items leave before pairs are made: that bounds both the items (see ``frequent``) and
-the pairs of a basket, and loses no wanted pair. Large baskets are cut into blocks of
-items whose block pairs are spread over the cluster, so none is expanded by one task.
+items leave before baskets are gathered: that bounds both the items (see ``frequent``)
+and the pairs of a basket, and loses no wanted pair. Baskets of more than BLOCK items
+are never gathered: their items lie in blocks, and pairs of blocks meet by a join.
 """
 
 from __future__ import annotations
@@ -62,25 +62,25 @@ def cooccurrence(df: DataFrame, basket: str, item: str, min_count: int = 1, min_
     """
     scratch = scratch or Scratch(df.sparkSession, "cooccur")
     rows = df.select(F.col(f"`{basket}`").alias("u"), F.col(f"`{item}`").cast("string").alias("x")).where("u is not null and x is not null")
-    baskets = scratch.put(rows.groupBy("u").agg(F.collect_set("x").alias("xs")).select(F.monotonically_increasing_id().alias("u"), "xs"), "baskets")
-    n = baskets.count()
+    items = scratch.put(rows.distinct(), "items")
+    sizes = scratch.put(items.groupBy("u").agg(F.count("*").alias("size")), "sizes")
+    n = sizes.count()
     least = max(1, min_count, min_share * n)
     # Items held by min_share of the baskets: at most (mean items a basket) / min_share of them.
-    singles = baskets.select(F.explode("xs").alias("x")).groupBy("x").agg(F.count("*").alias("single")).where(F.col("single") >= least)
+    singles = items.groupBy("x").agg(F.count("*").alias("single")).where(F.col("single") >= least)
     frequent = scratch.put(singles.withColumn("i", F.monotonically_increasing_id()), "frequent")
     known = bounded_broadcast(frequent, frequent.count())
-    coded = (
-        baskets.where(F.size("xs") > 1)
-        .select("u", F.explode("xs").alias("x"))
-        .join(known.select("x", "i"), "x")
-        .groupBy("u")
-        .agg(F.sort_array(F.collect_list("i")).alias("xs"))
-        .where(F.size("xs") > 1)
-    )
-    small = coded.where(F.size("xs") <= BLOCK).select(F.col("xs").alias("left"), F.col("xs").alias("right"))
-    cut = coded.where(F.size("xs") > BLOCK).select(F.transform(F.sequence(F.lit(0), F.floor((F.size("xs") - 1) / BLOCK)), lambda k: F.slice("xs", (k * BLOCK + 1).cast("int"), F.lit(BLOCK))).alias("blocks"))
-    large = cut.select(F.posexplode("blocks").alias("at", "left"), "blocks").select("left", F.explode(F.expr("slice(blocks, at + 1, size(blocks))")).alias("right")).repartition(F.xxhash64("left", "right"))
-    pairs = small.unionAll(large).select(F.explode("left").alias("p"), "right").select("p", F.explode("right").alias("q")).where("p < q")
+    coded = items.join(known.select("x", "i"), "x").select("u", "i")
+    large = sizes.where(F.col("size") > BLOCK)
+    large = bounded_broadcast(large, large.count())
+    small = coded.join(large, "u", "left_anti").groupBy("u").agg(F.collect_list("i").alias("left")).where(F.size("left") > 1).select("left", F.col("left").alias("right"))
+    # A large basket is never gathered: its items lie in blocks, whose pairs are made by a join that may be split.
+    block = F.pmod(F.xxhash64("i"), F.ceil(F.col("size") / (BLOCK // 2)))
+    blocks = scratch.put(coded.join(large, "u").groupBy("u", block.alias("k")).agg(F.collect_list("i").alias("xs")), "blocks")
+    met = blocks.select("u", "k", F.col("xs").alias("left")).join(blocks.select("u", F.col("k").alias("m"), F.col("xs").alias("right")), "u").where("k <= m")
+    of_blocks = met.select("left", "right", F.col("k") == F.col("m"))
+    once = small.withColumn("same", F.lit(True)).unionAll(of_blocks).select(F.explode("left").alias("p"), "right", "same").select("p", F.explode("right").alias("q"), "same").where("p < q or (not same and p <> q)")
+    pairs = once.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
     both = pairs.groupBy("p", "q").agg(F.count("*").alias("c")).where(F.col("c") >= least)
     left = known.select(F.col("i").alias("p"), F.col("x").alias("x1"), F.col("single").alias("s1"))
     right = known.select(F.col("i").alias("q"), F.col("x").alias("x2"), F.col("single").alias("s2"))

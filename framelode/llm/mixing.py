@@ -55,8 +55,8 @@ def plan(targets: DataFrame, sizes: DataFrame, total: int | None = None) -> Data
     return has.withColumn("whole", F.floor(turns)).withColumn("rest", F.when(turns > F.floor(turns), F.col("budget") - F.floor(turns) * F.col("tokens")).otherwise(0.0))
 
 
-def thresholds(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """``mix_name, source, below``: records with a hash under ``below`` hold, to within one record, the tokens ``rest``."""
+def thresholds(docs: DataFrame, wanted: DataFrame, rows: int, scratch: Scratch) -> DataFrame:
+    """``mix_name, source, below``: records with a hash under ``below`` hold, to within half of the record at the boundary, the tokens ``rest``. ``rows``: how many ``wanted`` has."""
     state = wanted.where("rest > 0").select("mix_name", "source", F.col("rest").alias("left"), F.lit(0).cast("long").alias("prefix"))
     done = None
     for level in range(LEVELS):
@@ -64,13 +64,13 @@ def thresholds(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFram
         bucket = F.shiftright("h", shift)
         if level == 0:
             inside = docs.groupBy("source", bucket.alias("bucket")).agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
-            counted = inside.join(F.broadcast(state), "source")  # a row for each row of the targets, counted by the caller
+            counted = inside.join(bounded_broadcast(state, rows), "source")
         else:
             # Only records in some boundary bucket are looked at again.
             edge = state.select("source", "prefix").distinct()
-            near = docs.withColumn("prefix", F.shiftright("h", shift + BITS)).join(F.broadcast(edge), ["source", "prefix"])
+            near = docs.withColumn("prefix", F.shiftright("h", shift + BITS)).join(bounded_broadcast(edge, rows), ["source", "prefix"])
             inside = near.groupBy("source", "prefix", bucket.alias("bucket")).agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
-            counted = inside.join(F.broadcast(state), ["source", "prefix"])
+            counted = inside.join(bounded_broadcast(state, rows), ["source", "prefix"])
         line = Window.partitionBy("mix_name", "source").orderBy("bucket")  # at most 2 ** BITS rows
         summed = counted.withColumn("upto", F.sum("t").over(line)).where(F.col("upto") >= F.col("left"))
         crossing = summed.groupBy("mix_name", "source").agg(F.min(F.struct("bucket", "upto", "t", "n", "left")).alias("x")).select("mix_name", "source", "x.*")
@@ -95,15 +95,17 @@ def mix(docs: DataFrame, targets: DataFrame, record: str = "doc_id", text: str =
       rows for one source of a mix add their weights under the smallest cap.
     * Records with a null id are left out; null and empty texts have no tokens.
     * Records with equal hashes are picked together. Empty tables give no rows.
+    * Records are whole, so a source misses its budget by at most half of the record at the boundary. The report has the
+      error in tokens and the longest record of the source.
     """
     scratch = scratch or Scratch(docs.sparkSession, "mixing")
     named = docs.where(F.col(f"`{record}`").isNotNull()).select(F.col(f"`{record}`").alias("id"), normal_source(F.col(f"`{source}`")).alias("source"), F.col(f"`{text}`").alias("text"))
     hashed = token_counts(named, ["id", "source"], path=path).where("source is not null")
     hashed = scratch.put(hashed.withColumn("h", F.xxhash64(F.col("id").cast("string")).bitwiseAND(F.lit((1 << (BITS * LEVELS)) - 1))), "tokens")
-    sizes = hashed.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    sizes = hashed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.max("tokens").alias("longest"))
     wanted = scratch.put(plan(targets, sizes, total), "plan")
     rows = wanted.count()
-    below = thresholds(hashed, wanted, scratch)
+    below = thresholds(hashed, wanted, rows, scratch)
     full = wanted.join(below, ["mix_name", "source"], "left")
     joined = hashed.join(bounded_broadcast(full.select("mix_name", "source", "whole", F.coalesce("below", F.lit(0)).alias("below")), rows), "source")
     repeats = F.col("whole") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
@@ -113,6 +115,6 @@ def mix(docs: DataFrame, targets: DataFrame, record: str = "doc_id", text: str =
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     report = wanted.join(got, ["mix_name", "source"], "left").select(
         "mix_name", "source", "wanted_share", F.col("share").alias("target_share"), F.col("cap").alias("max_repeats"), "budget",
-        zero("actual_tokens"), (F.coalesce("actual_tokens", F.lit(0)) / F.greatest(F.sum("actual_tokens").over(reached), F.lit(1))).alias("actual_share"), zero("documents"), zero("most_repeats"),
+        zero("actual_tokens"), (F.coalesce("actual_tokens", F.lit(0)) - F.col("budget")).alias("error_tokens"), zero("longest"), (F.coalesce("actual_tokens", F.lit(0)) / F.greatest(F.sum("actual_tokens").over(reached), F.lit(1))).alias("actual_share"), zero("documents"), zero("most_repeats"),
     )
     return selection, report

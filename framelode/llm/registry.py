@@ -99,7 +99,7 @@ def p8_selection(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     report = mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
-    return report.select("mix_name", "source", "max_repeats", *[F.round(c, 9).alias(c) for c in ("wanted_share", "target_share", "actual_share")], F.round("budget", 3).alias("budget"), "actual_tokens", "documents", "most_repeats")
+    return report.select("mix_name", "source", "max_repeats", *[F.round(c, 9).alias(c) for c in ("wanted_share", "target_share", "actual_share")], F.round("budget", 3).alias("budget"), "actual_tokens", F.round("error_tokens", 3).alias("error_tokens"), "longest", "documents", "most_repeats")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

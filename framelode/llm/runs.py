@@ -3,17 +3,18 @@
 Rows are range-partitioned and sorted by group, order and id, so even one huge group is
 cut into chunks. Every chunk encodes its runs locally. A run summary (first and last
 event, count, ends) is associative, so only the first and last run of each chunk can
-still join a neighbour: those summaries, at most two a chunk, are merged by a prefix
-over the chunks.
+still join a neighbour: those summaries, at most two a chunk, are merged by a tree over
+the chunks, a bounded number of neighbours a task and level.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,6 +65,43 @@ def _summaries(gap: int):
     return encode
 
 
+#: Chunks (or stretches of chunks) that one task merges.
+FAN_IN = 256
+_SUMMARY = "g string, first_id string, last_id string, start_at long, end_at long, frames long, low long, high long, lo1 long, hi1 long, lo2 long, hi2 long, chunk int, number long, edge boolean"
+
+
+def _merged(local: DataFrame, gap: int, scratch: Scratch) -> DataFrame:
+    """The runs at the ends of chunks, merged across chunks by a tree: FAN_IN neighbouring stretches become one, whose own first and last run stay open."""
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["chunk", "number"], kind="stable")
+        out: list[dict] = []
+        at = None
+        for row in rows.to_dict("records"):
+            last = out[-1] if out else None
+            if last is not None and at != row["chunk"] and last["g"] == row["g"] and abs(row["lo1"] - last["lo2"]) <= gap and abs(row["hi1"] - last["hi2"]) <= gap:
+                last |= {name: row[name] for name in ("last_id", "end_at", "lo2", "hi2")}
+                last |= {"frames": last["frames"] + row["frames"], "low": min(last["low"], row["low"]), "high": max(last["high"], row["high"])}
+            else:
+                out.append(row)
+            at = row["chunk"]
+        for i, row in enumerate(out):
+            row |= {"chunk": row["chunk"] // FAN_IN, "number": i, "edge": i in (0, len(out) - 1)}
+        for row in out:
+            row["chunk"] = out[0]["chunk"]
+        return pd.DataFrame(out, columns=rows.columns)
+
+    names = [f.name for f in T._parse_datatype_string(_SUMMARY)]
+    edges, done = local.where("edge").select(names), []
+    last = edges.agg(F.max("chunk")).first()[0] or 0
+    while True:
+        level = scratch.put(edges.groupBy(F.floor(F.col("chunk") / FAN_IN)).applyInPandas(merge, _SUMMARY), "merged")
+        if last < FAN_IN:
+            return reduce(DataFrame.unionAll, [*done, level])
+        done.append(level.where("not edge"))
+        edges, last = level.where("edge"), last // FAN_IN
+
+
 def runs(df: DataFrame, keys: list[str], at: str, tie: str, low: str, high: str, gap: int = 250, scratch: Scratch | None = None) -> DataFrame:
     """``*keys, first_id, last_id, start_at, end_at, frames, low, high, duration_ms`` of each run (of one event or more).
 
@@ -83,21 +121,12 @@ def runs(df: DataFrame, keys: list[str], at: str, tie: str, low: str, high: str,
     rows = scratch.put(rows.where(whole).select("g", "at", "id", F.least("b1", "b2").alias("lo"), F.greatest("b1", "b2").alias("hi")), "events")
     order = ["g", "at", "id"]
     flat = F.to_json("g").alias("g")
-    kind = "g string, first_id string, last_id string, start_at long, end_at long, frames long, low long, high long, lo1 long, hi1 long, lo2 long, hi2 long, chunk int, number long, edge boolean"
-    chunks = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(flat, "at", "id", "lo", "hi").mapInPandas(_summaries(gap), kind)
+    chunks = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(flat, "at", "id", "lo", "hi").mapInPandas(_summaries(gap), _SUMMARY)
     local = scratch.put(chunks, "summaries")
     scratch.drop(rows)
 
-    edges = local.where("edge")  # at most two rows a chunk, so one ordered pass over them is bounded by the number of chunks
-    line = Window.orderBy("chunk", "number")
-    lag = lambda c: F.lag(c).over(line)
-    apart = (F.col("g") != lag("g")) | (F.col("chunk") == lag("chunk")) | (F.abs(F.col("lo1") - lag("lo2")) > gap) | (F.abs(F.col("hi1") - lag("hi2")) > gap)
-    runs_of = edges.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(line))
-    joined = runs_of.groupBy("run").agg(
-        F.first("g").alias("g"), F.min_by("first_id", F.struct("chunk", "number")).alias("first_id"), F.max_by("last_id", F.struct("chunk", "number")).alias("last_id"),
-        F.min("start_at").alias("start_at"), F.max("end_at").alias("end_at"), F.sum("frames").alias("frames"), F.min("low").alias("low"), F.max("high").alias("high"),
-    )
-    every = local.where("not edge").select("g", *_FIELDS).unionAll(joined.select("g", *_FIELDS))
+    merged = _merged(local, gap, scratch)
+    every = local.where("not edge").select("g", *_FIELDS).unionAll(merged.select("g", *_FIELDS))
     key = T.StructType([T.StructField(f"k{i}", T.StringType()) for i in range(len(keys))])
     parsed = every.withColumn("g", F.from_json("g", key))
     return parsed.select(*[F.col(f"g.k{i}").alias(k) for i, k in enumerate(keys)], *_FIELDS, (F.col("end_at") - F.col("start_at")).alias("duration_ms"))

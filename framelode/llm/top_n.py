@@ -3,8 +3,9 @@
 The score range is cut into bands at approximate quantiles and the rows are written
 partitioned by band. Bands are read from the top. In each, every task first keeps its
 own N best rows of a group, so a group of any size sends at most N rows a task; groups
-that higher bands have filled are anti-joined away, and the boundary band is ranked
-exactly by score, then by the tie column. Equal scores never straddle a cut, so ties
+that higher bands have filled, or that have no further rows, leave by a join before the
+rows of a band are ranked, and the bands end when no group is open. The boundary band of
+a group is ranked exactly by score, then by the tie column. Equal scores never straddle a cut, so ties
 are always decided inside one band.
 """
 
@@ -15,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framelode.runtime import Scratch
+from framelode.runtime import Scratch, bounded_broadcast
 
 #: Quantiles of the score at which bands are cut, from the top.
 CUTS = (0.9, 0.6, 0.3)
@@ -54,17 +55,27 @@ def top_n_per_group(df: DataFrame, keys: list[str], score: str, tie: str, n: int
         band = F.when(F.col("_s") >= cuts[i], F.lit(i)).otherwise(band)
     banded = scratch.put(packed.withColumn("_band", band), "bands", partition_by="_band")
 
-    order = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(F.desc("_s"), F.asc("_t"))
+    keys_ = [f"_k{i}" for i in range(len(keys))]
+    order = Window.partitionBy(*keys_).orderBy(F.desc("_s"), F.asc("_t"))
     picked: list[DataFrame] = []
+    state = None
     for b in range(len(cuts) + 1):
-        ranked = banded.where(F.col("_band") == b).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n)
-        if picked:
-            got = reduce(DataFrame.unionAll, [p.select(*[F.col(f"_k{i}").alias(f"_g{i}") for i in range(len(keys))]) for p in picked])
-            state = got.groupBy(*got.columns).agg(F.count("*").alias("_kept"))
-            full, part = state.where(F.col("_kept") >= n), state.where(F.col("_kept") < n)
-            ranked = ranked.join(full, _same(ranked, full, len(keys)), "left_anti")
-            ranked = ranked.join(part, _same(ranked, part, len(keys)), "left")
-            ranked = ranked.where(F.col("_rank") + F.coalesce("_kept", F.lit(0)) <= n)
-        picked.append(scratch.put(ranked.select("_row", *[f"_k{i}" for i in range(len(keys))]), f"picked{b}"))
-    scratch.drop(banded)
+        rows = banded.where(F.col("_band") == b)
+        if state is None:
+            ranked = rows.withColumn("_kept", F.lit(0))
+        else:
+            # Groups that are filled, or have no rows left, go before anything is ranked or shuffled.
+            open_ = state.where(F.col("_got") < F.least(F.col("_all"), F.lit(n))).select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys_)], F.col("_got").alias("_kept"))
+            left = open_.count()
+            if not left:
+                break
+            ranked = rows.join(bounded_broadcast(open_, left), _same(rows, open_, len(keys)))
+        ranked = ranked.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).where(F.col("_rank") + F.col("_kept") <= n)
+        picked.append(scratch.put(ranked.select("_row", *keys_), f"picked{b}"))
+        if b < len(cuts):
+            got = picked[-1].groupBy(*keys_).agg(F.count("*").alias("_got"), F.lit(0).cast("long").alias("_all"))
+            seen = banded.groupBy(*keys_).agg(F.lit(0).cast("long").alias("_got"), F.count("*").alias("_all")) if state is None else state
+            before, state = state, scratch.put(got.unionAll(seen).groupBy(*keys_).agg(F.sum("_got").alias("_got"), F.sum("_all").alias("_all")), f"state{b}")
+            scratch.drop(before)
+    scratch.drop(banded, state)
     return reduce(DataFrame.unionAll, picked).select("_row.*")

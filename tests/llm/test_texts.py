@@ -91,7 +91,8 @@ def test_mix_reaches_its_shares(spark):
         total = sum(y.actual_tokens for (n, _), y in report.items() if n == m)
         mine = [p for p in picked if (p.mix_name, p.source) == (m, s)]
         assert sum(p.tokens * p.repeats for p in mine) == x.actual_tokens and len(mine) == x.documents
-        assert abs(x.actual_tokens - x.budget) <= longest
+        assert abs(x.actual_tokens - x.budget) <= longest and abs(x.error_tokens) <= x.longest / 2 + 1e-6
+        assert x.error_tokens == pytest.approx(x.actual_tokens - x.budget)
         assert x.max_repeats is None or x.most_repeats <= x.max_repeats
         if total:
             assert abs(x.actual_share - x.target_share) <= 3 * longest / total
