@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framelode.plans import analytics, base, policies, relational, retrieval, texts  # noqa: F401
+from framelode.plans import analytics, base, catalogue, policies, relational, retrieval, texts  # noqa: F401
 
 
 def queries() -> dict:
