@@ -2,29 +2,75 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelode.runtime import Scratch, bounded_broadcast
 
-def _ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return df.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
+
+#: Buckets into which the span of a group is cut, and rows of a group that are then ranked at once.
+BUCKETS_OF_SPAN, RANKED_AT_ONCE = 2048, 50_000
+
+
+def value_at(df: DataFrame, keys: list[str], value: str, wanted: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """``keys, which, value, n``: of each group the values of some ranks from 0 (named, as functions of the group's size). Nulls take no part.
+
+    The span of values is cut into buckets that are counted before the shuffle; only the bucket that holds a rank is cut
+    again, until it holds few rows, and only those are ranked. A group with any number of rows is never sorted in one task.
+    """
+    scratch = Scratch(df.sparkSession, "ranks")
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = scratch.put(df.where(F.col(value).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).cast("double").alias("v")), "values")
+    groups = rows.groupBy(*names).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    listed = F.array(*[F.struct(F.lit(w).alias("which"), rank(F.col("n")).cast("long").alias("r")) for w, rank in wanted.items()])
+    state = scratch.put(groups.withColumn("x", F.explode(listed)).select(*names, "x.which", "x.r", "n", "lo", "hi", F.col("n").alias("left")), "state")
+
+    def inside() -> DataFrame:
+        asked = bounded_broadcast(state, state.count())
+        return rows.alias("a").join(asked.alias("b"), same_of("a", "b") & F.col("v").between(F.col("lo"), F.col("hi"))).select(*[F.col(f"b.{n}").alias(n) for n in names], "which", "r", "n", "lo", "hi", "v")
+
+    def same_of(a: str, b: str) -> Column:
+        return reduce(lambda x, y: x & y, [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names], F.lit(True))
+
+    while not state.where((F.col("left") > RANKED_AT_ONCE) & (F.col("lo") < F.col("hi"))).isEmpty():
+        place = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(BUCKETS_OF_SPAN - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS_OF_SPAN))).otherwise(0)
+        counted = inside().groupBy(*names, "which", "r", "n", place.alias("bucket")).agg(F.count("*").alias("left"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        line = Window.partitionBy(*names, "which").orderBy("bucket")  # at most BUCKETS_OF_SPAN rows
+        summed = counted.withColumn("upto", F.sum("left").over(line)).where(F.col("upto") > F.col("r"))
+        first = summed.groupBy(*names, "which").agg(F.min(F.struct("bucket", "upto", "left", "lo", "hi", "r", "n")).alias("x"))
+        state = scratch.put(first.select(*names, "which", (F.col("x.r") - (F.col("x.upto") - F.col("x.left"))).alias("r"), "x.n", "x.lo", "x.hi", "x.left"), "state")
+    few = inside().where("lo < hi").withColumn("_r", F.row_number().over(Window.partitionBy(*names, "which").orderBy("v")) - 1).where(F.col("_r") == F.col("r")).select(*names, "which", "v", "n")
+    found = few.unionAll(state.where("lo = hi").select(*names, "which", F.col("lo").alias("v"), "n"))
+    return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "which", F.col("v").alias("value"), "n")
 
 
 def percentile_nearest(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
     """The value of rank ceil(q * n) - 1."""
-    at = F.greatest(F.ceil(F.col("_n") * q) - 1, F.lit(0))
-    return _ranked(df, keys, value).where(F.col("_r") == at).select(*keys, F.col(value).alias("value"))
+    return value_at(df, keys, value, {"q": lambda n: F.greatest(F.ceil(n * q) - 1, F.lit(0))}).select(*keys, "value")
 
 
 def percentile_round(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
     """The value of rank round((n - 1) * q), halves to even."""
-    return _ranked(df, keys, value).where(F.col("_r") == F.bround((F.col("_n") - 1) * q)).select(*keys, F.col(value).alias("value"))
+    return value_at(df, keys, value, {"q": lambda n: F.bround((n - 1) * q)}).select(*keys, "value")
+
+
+def percentiles_linear(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """``keys, n`` and a column for each of ``qs``: the value at rank (n - 1) * q, between neighbours in proportion."""
+    ranks = {}
+    for name, q in qs.items():
+        ranks |= {f"{name}<": lambda n, q=q: F.floor((n - 1) * q), f"{name}>": lambda n, q=q: F.ceil((n - 1) * q)}
+    found = value_at(df, keys, value, ranks)
+    at = lambda w: F.max(F.when(F.col("which") == w, F.col("value")))
+    sides = found.groupBy(*keys).agg(F.max("n").alias("n"), *[at(w).alias(w) for w in ranks])
+    part = lambda q: (F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q)
+    return sides.select(*keys, "n", *[(F.col(f"{name}<") + (F.col(f"{name}>") - F.col(f"{name}<")) * part(q)).alias(name) for name, q in qs.items()])
 
 
 def percentile_linear(value: str, q: float) -> Column:
+    """As an aggregate, for groups whose distinct values fit a task; ``percentiles_linear`` has no such limit."""
     return F.percentile(value, q)
 
 

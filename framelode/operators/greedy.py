@@ -1,44 +1,63 @@
-"""Operators whose decisions depend on what was already chosen: grouped Arrow functions, one source at a time.
+"""Operators whose decisions depend on what was already chosen: grouped Arrow functions.
 
-Order is set inside the function; nothing relies on how rows arrive. A source is one
-film or folder, whose frames fit a task; sources run in parallel.
+Order is set inside the function; nothing relies on how rows arrive. Where a decision
+only looks a bounded time away, a source is cut at longer gaps: its stretches decide
+for themselves, so a source of any length is many groups. Rules that look at a whole
+source (``time_coverage``, ``spaced_representatives``) take one source a task, in time
+that grows like a sort.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
+from framelode.operators import windows
 
-def _grouped(df: DataFrame, source: str, choose: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return df.groupBy(source).applyInPandas(lambda g: choose(g)[[c.strip().split(" ")[0] for c in schema.split(",")]], schema)
+
+def _grouped(df: DataFrame, keys: list[str], choose: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    return df.groupBy(*keys).applyInPandas(lambda g: choose(g)[[c.strip().split(" ")[0] for c in schema.split(",")]], schema)
+
+
+def _stretches(df: DataFrame, source: str, time: str, reach: int) -> DataFrame:
+    """``df`` with ``_stretch``: rows more than ``reach`` apart, with none between, lie in different ones."""
+    return windows.islands(df, source, [time], F.col(time) - F.lag(time).over(windows.in_source(source, time)) > reach, "_stretch")
+
+
+def _first(df: DataFrame, source: str, order: list[tuple[str, bool]], cap: int) -> DataFrame:
+    """The first ``cap`` rows of each source; each task keeps that many before the shuffle."""
+    by = [F.asc(c) if up else F.desc(c) for c, up in order]
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(source).orderBy(*by))).where(F.col("_n") <= cap).drop("_n")
 
 
 def keep_apart(df: DataFrame, source: str, time: str, order: list[tuple[str, bool]], gap: int, schema: str, cap: int | None = None) -> DataFrame:
     """In the given order (column, ascending), keep a row unless it lies less than ``gap`` from any row kept before.
 
-    A gap of 0 keeps all. ``cap`` bounds the rows kept of a source. Kept times stay sorted, so a row is tested against its two neighbours.
+    A gap of 0 keeps all. ``cap`` bounds the rows kept of a source: the first in the same order. Kept times stay sorted, so a row is tested against its two neighbours.
     """
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
-        from bisect import bisect_left, insort
-
         g = g.sort_values([c for c, _ in order], ascending=[a for _, a in order], kind="stable")
         kept: list[int] = []
         flags = []
         for t in g[time].tolist():
             i = bisect_left(kept, t)
             near = gap > 0 and ((i < len(kept) and kept[i] - t < gap) or (i > 0 and t - kept[i - 1] < gap))
-            take = not near and (cap is None or len(kept) < cap)
-            if take:
+            if not near:
                 insort(kept, t)
-            flags.append(take)
+            flags.append(not near)
         return g[flags]
 
-    return _grouped(df, source, choose, schema)
+    if cap is None:
+        return _grouped(_stretches(df, source, time, gap - 1), [source, "_stretch"], choose, schema)
+    full = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    return _first(_grouped(_stretches(df, source, time, gap - 1), [source, "_stretch"], choose, full), source, order, cap).select(names)
 
 
 def better_of_near(df: DataFrame, source: str, time: str, score: str, tie: str, gap: int, schema: str) -> DataFrame:
@@ -46,43 +65,59 @@ def better_of_near(df: DataFrame, source: str, time: str, score: str, tie: str,
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values([time, tie], kind="stable").reset_index(drop=True)
+        times, scores = g[time].tolist(), g[score].tolist()
         kept: list[int] = []
-        for i in range(len(g)):
-            if kept and g[time][i] - g[time][kept[-1]] < gap:
-                if g[score][i] > g[score][kept[-1]]:
+        for i, t in enumerate(times):
+            if kept and t - times[kept[-1]] < gap:
+                if scores[i] > scores[kept[-1]]:
                     kept[-1] = i
             else:
                 kept.append(i)
         return g.iloc[kept]
 
-    return _grouped(df, source, choose, schema)
+    return _grouped(_stretches(df, source, time, gap - 1), [source, "_stretch"], choose, schema)
 
 
 def time_coverage(df: DataFrame, source: str, time: str, tie: str, every: int, most: int, schema: str) -> DataFrame:
-    """The first row, the row nearest to each further anchor ``every`` apart, then the middle of the worst gap over ``most`` until none is left."""
+    """The first row, the row nearest to each further anchor ``every`` apart, then the middle of each gap over ``most`` until none is left.
+
+    A gap is filled by the inner row nearest to its middle, which leaves two smaller ones; gaps don't touch each other, so their order says nothing.
+    """
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values([time, tie], kind="stable").reset_index(drop=True)
-        t = g[time].to_numpy()
+        t = g[time].to_numpy(np.int64)
+        n = len(t)
+
+        def nearest(at: np.ndarray, low: int, high: int) -> np.ndarray:
+            """The first row in [low, high) nearest to each time."""
+            part = t[low:high]
+            after = np.clip(np.searchsorted(part, at), 0, len(part) - 1)
+            before = np.clip(after - 1, 0, len(part) - 1)
+            best = np.where(np.abs(part[before] - at) <= np.abs(part[after] - at), part[before], part[after])
+            return low + np.searchsorted(part, best)
+
         chosen = {0}
-        if len(t) > 1:
+        if n > 1:
             if t[-1] - t[0] <= every:
-                chosen.add(len(t) - 1)
+                chosen.add(n - 1)
             else:
-                for anchor in range(int(t[0]) + every, int(t[-1]) + 1, every):
-                    chosen.add(int(np.argmin(np.abs(t - anchor))))
-            while most > 0:
-                at = sorted(chosen)
-                gaps = [(int(t[b] - t[a]), -a, a, b) for a, b in zip(at, at[1:], strict=False) if t[b] - t[a] > most and ((t[a + 1 : b] > t[a]) & (t[a + 1 : b] < t[b])).any()]
-                if not gaps:
-                    break
-                _, _, a, b = max(gaps)
-                inner = [i for i in range(a + 1, b) if t[a] < t[i] < t[b]]
-                middle = (int(t[a]) + int(t[b])) // 2
-                chosen.add(min(inner, key=lambda i: (abs(int(t[i]) - middle), t[i])))
+                chosen.update(nearest(np.arange(int(t[0]) + every, int(t[-1]) + 1, every), 0, n).tolist())
+            at = sorted(chosen)
+            gaps = list(zip(at, at[1:], strict=False)) if most > 0 else []
+            while gaps:
+                a, b = gaps.pop()
+                if t[b] - t[a] <= most:
+                    continue
+                low, high = int(np.searchsorted(t, t[a], "right")), int(np.searchsorted(t, t[b], "left"))
+                if low >= high:
+                    continue
+                middle = int(nearest(np.array([(int(t[a]) + int(t[b])) // 2]), low, high)[0])
+                chosen.add(middle)
+                gaps += [(a, middle), (middle, b)]
         return g.iloc[sorted(chosen)]
 
-    return _grouped(df, source, choose, schema)
+    return _grouped(df, [source], choose, schema)
 
 
 def spaced_representatives(df: DataFrame, source: str, time: str, tie: str, budget: str, gap: int, schema: str) -> DataFrame:
@@ -90,25 +125,44 @@ def spaced_representatives(df: DataFrame, source: str, time: str, tie: str, budg
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values([time, tie], kind="stable").reset_index(drop=True)
-        t, n = g[time].to_numpy(), int(g[budget].iloc[0])
+        t, n = g[time].tolist(), int(g[budget].iloc[0])
         if n <= 0:
             return g.iloc[:0]
         if n == 1:
             return g.iloc[[len(g) // 2]]
+        taken: list[int] = []  # times chosen, in order
         chosen: list[int] = []
+
+        def free(x: int) -> bool:
+            i = bisect_left(taken, x)
+            return (i == len(taken) or taken[i] - x >= gap) and (i == 0 or x - taken[i - 1] >= gap)
+
         for i in range(n):
-            anchor = round(int(t[0]) + (int(t[-1]) - int(t[0])) * i / (n - 1))
-            for j in sorted(range(len(t)), key=lambda j: (abs(int(t[j]) - anchor), t[j])):
-                if all(abs(int(t[j]) - int(t[k])) >= gap for k in chosen):
+            anchor = round(t[0] + (t[-1] - t[0]) * i / (n - 1))
+            high = bisect_left(t, anchor)
+            low = high - 1
+            while low >= 0 or high < len(t):
+                # Outwards from the anchor, at equal distances the earlier row; of rows at one time the first.
+                if low >= 0 and (high >= len(t) or anchor - t[low] <= t[high] - anchor):
+                    j = bisect_left(t, t[low])
+                    low = j - 1
+                else:
+                    j = high
+                    high = bisect_left(t, t[high] + 1)
+                if free(t[j]):
+                    insort(taken, t[j])
                     chosen.append(j)
                     break
         return g.iloc[sorted(chosen)]
 
-    return _grouped(df, source, choose, schema)
+    return _grouped(df, [source], choose, schema)
 
 
-def leaders(df: DataFrame, source: str, schema: str, order: list[tuple[str, bool]], same: Callable[[dict, dict], np.ndarray], key: str) -> DataFrame:
-    """Each row joins the first leader it is the same as, or becomes one. Adds ``leader``. ``same`` compares a row with arrays of leaders."""
+def leaders(df: DataFrame, source: str, schema: str, order: list[tuple[str, bool]], same: Callable[[dict, dict], np.ndarray], key: str, time: str | None = None, reach: int = 0) -> DataFrame:
+    """Each row joins the first leader it is the same as, or becomes one. Adds ``leader``. ``same`` compares a row with arrays of leaders.
+
+    With ``time``, rows more than ``reach`` apart are never the same, and a source is cut at longer gaps.
+    """
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values([c for c, _ in order], ascending=[a for _, a in order], kind="stable").reset_index(drop=True)
@@ -122,11 +176,15 @@ def leaders(df: DataFrame, source: str, schema: str, order: list[tuple[str, bool
             leader.append(found[hits[0]] if len(hits) else i)
         return g.assign(leader=values[key][leader])
 
-    return _grouped(df, source, choose, schema)
+    return _grouped(_stretches(df, source, time, reach), [source, "_stretch"], choose, schema) if time else _grouped(df, [source], choose, schema)
+
 
+def novel_first(df: DataFrame, source: str, schema: str, order: list[tuple[str, bool]], duplicate: Callable[[dict, dict], np.ndarray], cap: int, time: str, reach: int) -> DataFrame:
+    """In order, keep up to ``cap`` rows of a source that duplicate none kept before.
 
-def novel_first(df: DataFrame, source: str, schema: str, order: list[tuple[str, bool]], duplicate: Callable[[dict, dict], np.ndarray], cap: int) -> DataFrame:
-    """In order, keep up to ``cap`` rows that duplicate none kept before; if all duplicate, the first stays."""
+    Rows more than ``reach`` apart never duplicate each other, so a source is cut at longer gaps; what a stretch keeps doesn't
+    depend on the cap, which then takes the first of all that are kept.
+    """
 
     def choose(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values([c for c, _ in order], ascending=[a for _, a in order], kind="stable").reset_index(drop=True)
@@ -137,9 +195,11 @@ def novel_first(df: DataFrame, source: str, schema: str, order: list[tuple[str,
                 break
             if not kept or not duplicate({c: v[i] for c, v in values.items()}, {c: v[kept] for c, v in values.items()}).any():
                 kept.append(i)
-        return g.iloc[kept or [0]]
+        return g.iloc[kept]
 
-    return _grouped(df, source, choose, schema)
+    full = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    return _first(_grouped(_stretches(df, source, time, reach), [source, "_stretch"], choose, full), source, order, cap).select(names)
 
 
 def constrained_clusters(nodes: DataFrame, component: str, id: str, unit: str, vector: str, least: float) -> DataFrame:

@@ -89,12 +89,15 @@ def percentile_round(t: Tables) -> DataFrame:
 
 @query("SELECT l_returnflag AS flag, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(median(l_quantity), 4) AS middle FROM lineitem GROUP BY l_returnflag")
 def percentile_linear(t: Tables) -> DataFrame:
-    return t.lineitem.groupBy(F.col("l_returnflag").alias("flag")).agg(F.round(aggregates.percentile_linear("l_extendedprice", 0.9), 4).alias("p90"), F.round(F.median("l_quantity"), 4).alias("middle"))
+    flagged = t.lineitem.select(F.col("l_returnflag").alias("flag"), "l_extendedprice", "l_quantity")
+    price = aggregates.percentiles_linear(flagged, ["flag"], "l_extendedprice", {"p90": 0.9})
+    quantity = aggregates.percentiles_linear(flagged, ["flag"], "l_quantity", {"middle": 0.5})
+    return price.join(quantity, "flag").select("flag", F.round("p90", 4).alias("p90"), F.round("middle", 4).alias("middle"))
 
 
 @query(f"WITH {FRAMES} SELECT src, min(luma) AS least, round(quantile_cont(luma, 0.5), 6) AS p50, round(quantile_cont(luma, 0.9), 6) AS p90, max(luma) AS most, count(luma) AS n FROM f GROUP BY src")
 def luma_summary(t: Tables) -> DataFrame:
-    s = t.frames.groupBy("src").agg(*aggregates.summary("luma"))
+    s = aggregates.percentiles_linear(t.frames, ["src"], "luma", {"least": 0.0, "p50": 0.5, "p90": 0.9, "most": 1.0})
     return s.select("src", "least", F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"), "most", "n")
 
 

@@ -82,4 +82,10 @@ LISTED = "CASE WHEN json_valid(search_terms_json) AND json_type(search_terms_jso
 #: Files with ``d``, the 64 hex digits of a valid hash in whatever spelling.
 HASHED = r"""cleaned AS (SELECT *, regexp_replace(lower(regexp_replace(content_sha256, '^[\s\x0b\x1c-\x1f\x85\p{Z}]+|[\s\x0b\x1c-\x1f\x85\p{Z}]+$', '', 'g')), '^sha256:', '') AS c FROM s),
   hashed AS (SELECT * EXCLUDE (c), CASE WHEN regexp_full_match(c, '[0-9a-f]{64}') THEN c END AS d FROM cleaned)"""
+#: Greedy choice, row by row: a row stays if it resembles none that stayed before it in its source, up to a cap. Follows ``WITH RECURSIVE``.
+NOVEL = """ {rows}, v AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY std DESC, t, id) AS n FROM r),
+    g AS (SELECT src, n, id, t, true AS stays, [{{'t': t, 'luma': luma, 'std': std}}] AS kept FROM v WHERE n = 1
+      UNION ALL SELECT src, n, id, t, ok, CASE WHEN ok THEN list_append(kept, {{'t': t, 'luma': luma, 'std': std}}) ELSE kept END
+      FROM (SELECT v.*, g.kept, len(g.kept) < {cap} AND len(list_filter(g.kept, lambda x: {alike})) = 0 AS ok FROM g JOIN v ON v.src = g.src AND v.n = g.n + 1) w)
+    SELECT src, id, t FROM g WHERE stays"""
 QUEUE = "q AS (SELECT DISTINCT *, lower(trim(queue_type)) AS kind FROM stop03_2_candidate_queue_items)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framelode.functions import vectors
 from framelode.operators import aggregates, audit, greedy, identity, selection, tables, windows
-from framelode.plans.base import FRAMES, LABELS, QUEUE, Tables, query
+from framelode.plans.base import FRAMES, LABELS, NOVEL, QUEUE, Tables, query
 
 _CHANGE = f"""WITH {FRAMES}, c AS (SELECT *, abs(luma - lag(luma) OVER w) / 255.0::DOUBLE AS mad, abs(std - lag(std) OVER w) / 255.0::DOUBLE AS edge FROM f WINDOW w AS (PARTITION BY src ORDER BY t, id)), d AS (SELECT *, 2 * mad AS area, 1.5::DOUBLE * mad AS hist FROM c WHERE mad IS NOT NULL)"""
 
@@ -187,12 +187,12 @@ def run_readback(t: Tables) -> DataFrame:
     return o.agg(F.max("kind").alias("kind"), F.countDistinct("candidate_id").alias("candidates"), F.count("*").alias("rows"), (F.count("*") - F.countDistinct("candidate_id")).alias("superseded"))
 
 
-@query()
+@query("WITH RECURSIVE" + NOVEL.format(rows=f"{FRAMES}, r AS (SELECT src, id, t, luma, std FROM f WHERE black = 0)", alike="abs(x.t - v.t) < 6000 OR (abs(x.t - v.t) <= 12000 AND abs(x.luma - v.luma) <= 2.0)", cap=12))
 def screen_text_frames(t: Tables) -> DataFrame:
     """Up to twelve frames of a source that are six seconds apart and resemble none chosen before, sharpest first."""
     near = lambda a, b: (abs(a["t"] - b["t"]) < 6000) | ((abs(a["t"] - b["t"]) <= 12_000) & (abs(a["luma"] - b["luma"]) <= 2.0))
     rows = t.frames.where("black = 0").select("src", "id", "t", "luma", "std")
-    return greedy.novel_first(rows, "src", "src string, id string, t bigint", [("std", False), ("t", True), ("id", True)], near, 12)
+    return greedy.novel_first(rows, "src", "src string, id string, t bigint", [("std", False), ("t", True), ("id", True)], near, 12, "t", 12_000)
 
 
 @query("SELECT scan_run_id, epoch(max(updated_at))::BIGINT AS last_seen, count(*) AS files FROM source_file_records WHERE scan_run_id IS NOT NULL GROUP BY scan_run_id ORDER BY last_seen DESC NULLS LAST, scan_run_id LIMIT 10")

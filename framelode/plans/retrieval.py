@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from framelode.functions import hashing, text, times, vectors
 from framelode.operators import audit, components, evidence, greedy, identity, search, selection, tables, windows
-from framelode.plans.base import FILES, FRAMES, HASHED, LABELS, LISTED, QUEUE, SQUEEZED, Tables, narrow, query
-from framelode.plans.texts import STRIP
+from framelode.plans.base import FILES, FRAMES, HASHED, LABELS, LISTED, NOVEL, QUEUE, SQUEEZED, Tables, narrow, query
+from framelode.plans.texts import QUALITY, STRIP
 
 #: The vectors that stand for the embedded query of the visual and of the text channel: models are not run here.
 VISUAL, TEXT = 7, 11
@@ -96,7 +96,11 @@ def scene_consensus(t: Tables) -> DataFrame:
     return d.select("src", search.scene_code(*[F.col(k) for k in search.SCENE]).alias("scene"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {QUEUE}, r AS (SELECT source_content_id AS src, candidate_id, time_position_ms AS t, max(CASE WHEN candidate_score IS NULL OR isnan(candidate_score) THEN -1 ELSE candidate_score END) AS score, bool_or(coalesce(lower(trim(media_type)) = 'video', false)) AS video
+      FROM q WHERE source_content_id IS NOT NULL AND candidate_id IS NOT NULL AND time_position_ms >= 0 GROUP BY ALL), v AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, candidate_id, t) AS n FROM r WHERE video),
+    g AS (SELECT src, n, candidate_id, t, true AS stays, [t] AS kept FROM v WHERE n = 1 UNION ALL SELECT src, n, candidate_id, t, ok, CASE WHEN ok THEN list_append(kept, t) ELSE kept END
+      FROM (SELECT v.*, g.kept, len(list_filter(g.kept, lambda x: abs(x - v.t) < 5000)) = 0 AS ok FROM g JOIN v ON v.src = g.src AND v.n = g.n + 1) w)
+    SELECT src, candidate_id, t FROM g WHERE stays UNION ALL SELECT src, candidate_id, t FROM r WHERE NOT video""")
 def temporal_dedup(t: Tables) -> DataFrame:
     """Candidates in order of score; of those closer than 5 s to one kept before, in their source, none stays."""
     rows = t.queue.where("source_content_id is not null and candidate_id is not null and time_position_ms >= 0").groupBy(F.col("source_content_id").alias("src"), "candidate_id", F.col("time_position_ms").alias("t")).agg(F.max(F.coalesce(F.nanvl("candidate_score", F.lit(None).cast("double")), F.lit(-1.0))).alias("score"), F.max(F.coalesce(F.lower(F.trim("media_type")) == "video", F.lit(False))).alias("video"))
@@ -151,10 +155,14 @@ def exact_text_duplicates(t: Tables) -> DataFrame:
 def _leaders(t: Tables) -> DataFrame:
     rows = t.frames.select("src", "id", "t", "luma", "std")
     near = lambda a, b: (abs(a["t"] - b["t"]) <= 30_000) & (abs(a["luma"] - b["luma"]) <= 1.0) & (abs(a["std"] - b["std"]) <= 1.0)
-    return greedy.leaders(rows, "src", "src string, id string, leader string", [("std", False), ("t", True), ("id", True)], near, "id")
+    return greedy.leaders(rows, "src", "src string, id string, leader string", [("std", False), ("t", True), ("id", True)], near, "id", "t", 30_000)
 
 
-@query()
+@query(f"""WITH RECURSIVE {FRAMES}, v AS (SELECT src, id, t, luma, std, row_number() OVER (PARTITION BY src ORDER BY std DESC, t, id) AS n FROM f),
+    g AS (SELECT src, n, id, id AS leader, [{{'t': t, 'luma': luma, 'std': std, 'id': id}}] AS heads FROM v WHERE n = 1
+      UNION ALL SELECT src, n, id, coalesce(met[1].id, id), CASE WHEN len(met) = 0 THEN list_append(heads, {{'t': t, 'luma': luma, 'std': std, 'id': id}}) ELSE heads END
+      FROM (SELECT v.*, g.heads, list_filter(g.heads, lambda x: abs(x.t - v.t) <= 30000 AND abs(x.luma - v.luma) <= 1.0 AND abs(x.std - v.std) <= 1.0) AS met FROM g JOIN v ON v.src = g.src AND v.n = g.n + 1) w)
+    SELECT src, id, leader FROM g""")
 def leader_clusters(t: Tables) -> DataFrame:
     """Frames join the first leader that they resemble within 30 s; the sharpest come first."""
     return _leaders(t)
@@ -214,13 +222,25 @@ def _in_time(t: Tables) -> DataFrame:
     return t.frames.select("src", "id", "t", "std")
 
 
-@query()
+@query(f"""WITH RECURSIVE {FRAMES}, o AS (SELECT src, id, t, row_number() OVER (PARTITION BY src ORDER BY t, id) AS i FROM f), l AS (SELECT src, list({{'i': i, 't': t}} ORDER BY i) AS rows, min(t) AS first, max(t) AS last, count(*) AS n FROM o GROUP BY src),
+    a AS (SELECT src, rows, unnest(generate_series(first + 6000, last, 6000)) AS anchor FROM l WHERE last - first > 6000),
+    c AS (SELECT src, 1 AS i FROM l UNION SELECT src, n FROM l WHERE n > 1 AND last - first <= 6000 UNION SELECT src, list_sort(list_transform(rows, lambda x: {{'d': abs(x.t - anchor), 'i': x.i}}))[1].i FROM a),
+    p AS (SELECT src, i AS lo, lead(i) OVER (PARTITION BY src ORDER BY i) AS hi FROM c),
+    g AS (SELECT src, rows, lo, hi, false AS made FROM p JOIN l USING (src) WHERE hi IS NOT NULL
+      UNION ALL SELECT src, rows, s.lo, s.hi, s.made FROM (SELECT src, rows, unnest([{{'lo': lo, 'hi': m, 'made': true}}, {{'lo': m, 'hi': hi, 'made': false}}]) AS s
+        FROM (SELECT *, list_sort(list_transform(list_filter(rows, lambda x: x.t > rows[lo].t AND x.t < rows[hi].t), lambda x: {{'d': abs(x.t - (rows[lo].t + rows[hi].t) // 2), 't': x.t, 'i': x.i}}))[1].i AS m FROM g WHERE rows[hi].t - rows[lo].t > 10000) w WHERE m IS NOT NULL) z)
+    SELECT src, id, t FROM o JOIN (SELECT src, i FROM c UNION SELECT src, hi FROM g WHERE made) USING (src, i)""")
 def time_coverage(t: Tables) -> DataFrame:
     """A frame near every 6 s, and no gap over 10 s that a frame could fill."""
     return greedy.time_coverage(_in_time(t), "src", "t", "id", 6000, 10_000, "src string, id string, t bigint")
 
 
-@query()
+@query(f"""WITH RECURSIVE {FRAMES}, o AS (SELECT src, id, t, row_number() OVER (PARTITION BY src ORDER BY t, id) AS i FROM f), l AS (SELECT src, list({{'i': i, 't': t, 'id': id}} ORDER BY i) AS rows, min(t) AS first, max(t) AS last, count(*) AS n, (max(t) - min(t)) / 1000.0::DOUBLE AS s FROM o GROUP BY src),
+    b AS (SELECT *, (CASE WHEN s < 20 THEN 1 WHEN s < 60 THEN 2 WHEN s < 180 THEN least(3, ceil(s / 60)) WHEN s < 600 THEN least(5, ceil(s / 60)) ELSE least(10, ceil(s / 60)) END)::INT AS budget FROM l),
+    g AS (SELECT src, 0 AS step, budget, first, last, rows, CASE WHEN budget = 1 THEN [rows[n // 2 + 1]] ELSE rows[1:0] END AS chosen FROM b
+      UNION ALL SELECT src, step + 1, budget, first, last, rows, CASE WHEN len(free) = 0 THEN chosen ELSE list_append(chosen, list_sort(list_transform(free, lambda x: {{'d': abs(x.t - anchor), 't': x.t, 'i': x.i, 'row': x}}))[1].row) END
+      FROM (SELECT *, round_even(first + (last - first) * step / (budget - 1)::DOUBLE, 0)::BIGINT AS anchor, list_filter(rows, lambda x: len(list_filter(chosen, lambda c: abs(c.t - x.t) < 20000)) = 0) AS free FROM g WHERE budget > 1 AND step < budget) w)
+    SELECT src, c.id AS id, c.t AS t FROM (SELECT src, unnest(chosen) AS c FROM g WHERE budget = 1 OR step = budget)""")
 def spaced_representatives(t: Tables) -> DataFrame:
     """As many frames as a film's length is worth, 20 s apart."""
     w = Window.partitionBy("src")
@@ -228,16 +248,19 @@ def spaced_representatives(t: Tables) -> DataFrame:
     return greedy.spaced_representatives(_in_time(t).withColumn("budget", budget.cast("int")), "src", "t", "id", "budget", 20_000, "src string, id string, t bigint")
 
 
-@query()
+@query(f"""WITH RECURSIVE {FRAMES}, v AS (SELECT src, id, t, std, row_number() OVER (PARTITION BY src ORDER BY t, id) AS n FROM f),
+    g AS (SELECT src, n, 1 AS place, id, t, std FROM v WHERE n = 1 UNION ALL SELECT v.src, v.n, CASE WHEN v.t - g.t < 18000 THEN place ELSE place + 1 END, CASE WHEN v.t - g.t >= 18000 OR v.std > g.std THEN v.id ELSE g.id END,
+      CASE WHEN v.t - g.t >= 18000 OR v.std > g.std THEN v.t ELSE g.t END, CASE WHEN v.t - g.t >= 18000 OR v.std > g.std THEN v.std ELSE g.std END FROM g JOIN v ON v.src = g.src AND v.n = g.n + 1)
+    SELECT src, max_by(id, n) AS id, max_by(t, n) AS t FROM g GROUP BY src, place""")
 def better_of_near(t: Tables) -> DataFrame:
     return greedy.better_of_near(_in_time(t), "src", "t", "std", "id", 18_000, "src string, id string, t bigint")
 
 
-@query()
+@query("WITH RECURSIVE" + NOVEL.format(rows=f"{FRAMES}, r AS (SELECT src, id, t, luma, std FROM f)", alike="abs(x.t - v.t) <= 12000 AND abs(x.std - v.std) <= 2.0", cap=5))
 def coverage_novel(t: Tables) -> DataFrame:
     """Up to five frames of a source, sharpest first, that resemble none chosen before."""
     alike = lambda a, b: (abs(a["t"] - b["t"]) <= 12_000) & (abs(a["std"] - b["std"]) <= 2.0)
-    return greedy.novel_first(_in_time(t), "src", "src string, id string, t bigint", [("std", False), ("t", True), ("id", True)], alike, 5)
+    return greedy.novel_first(_in_time(t), "src", "src string, id string, t bigint", [("std", False), ("t", True), ("id", True)], alike, 5, "t", 12_000)
 
 
 @query(f"""WITH {FRAMES}, g AS (SELECT *, CASE WHEN t - lag(t) OVER w > 60000 THEN 1 ELSE 0 END AS s FROM f WINDOW w AS (PARTITION BY src ORDER BY t, id)), i AS (SELECT *, sum(s) OVER (PARTITION BY src ORDER BY t, id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM g),
@@ -394,7 +417,9 @@ def integrity(t: Tables) -> DataFrame:
     return count("documents", tables.orphans(t.documents, "source_content_id", t.source_assets, "source_content_id")).unionAll(count("labels", tables.orphans(t.yolo_visual_unit_label, "visual_unit_id", t.visual_units, "visual_unit_id")))
 
 
-@query()
+@query(QUALITY.replace("coalesce(lower(trim(source)) = 'ocr_text', false) AS ocr", "false AS ocr").replace("SELECT doc_id, longest_run, degenerate, quality_score, CASE", """, x AS (SELECT q.doc_id, lower(trim(d.source)) AS src, quality_score AS score, length(d.text) AS n FROM q JOIN documents d USING (doc_id)),
+    u AS ((SELECT doc_id, 1 AS p, score FROM x ORDER BY score DESC, doc_id LIMIT 20) UNION ALL (SELECT doc_id, 2, score FROM x ORDER BY n DESC, doc_id LIMIT 20) UNION ALL (SELECT doc_id, 3, score FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, doc_id) AS k FROM x) WHERE k = 1) UNION ALL (SELECT doc_id, 4, score FROM x ORDER BY score DESC, doc_id LIMIT 60))
+    SELECT doc_id, min(p) AS reason, max(score) AS score FROM u GROUP BY doc_id ORDER BY reason, score DESC, doc_id LIMIT 60 --"""))
 def review_sample(t: Tables) -> DataFrame:
     """Sixty documents to look at: the worst, the longest, the worst of each source, then more of the worst."""
     q = text.text_quality(F.col("text"), F.lit(False))
@@ -402,14 +427,15 @@ def review_sample(t: Tables) -> DataFrame:
     return audit.review_sample(scored, "doc_id", "src", "score", "length", 20, 20, 60).select("doc_id", "reason", "score")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 8 HOUR THEN 0 ELSE 1 END AS begins FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+    SELECT user_id, sum(begins)::BIGINT AS sessions, count(*) AS events FROM e GROUP BY user_id""")
 def streamed_sessions(t: Tables) -> DataFrame:
-    """The event table as a stream: sessions with gaps under eight hours, counted in batches, from a memory sink."""
+    """The event table as a stream: sessions with gaps under eight hours. Each batch's result replaces the one before in the shared folder; nothing goes through the driver."""
+    from framelode.runtime import Scratch
     from framelode.streaming import streams
 
+    root = Scratch(t.spark, "sessions").root
     events = t.spark.readStream.schema(t.events.schema).format("parquet").option("pathGlobFilter", "events.parquet").load(t.d)
     made = streams.sessions(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "8 hours", "1 hour")
-    name = "streamed_sessions"
-    run = made.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return t.spark.table(name).groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
+    streams.write_latest(made, f"{root}/out", f"{root}/state").awaitTermination()
+    return t.spark.read.schema(made.schema).parquet(f"{root}/out").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))

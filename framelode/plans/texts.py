@@ -62,9 +62,26 @@ def character_metrics(t: Tables) -> DataFrame:
     return t.documents.where("text is not null").select("doc_id", *[m[k].alias(k) for k in keep])
 
 
-@query()
+QUALITY = rf"""WITH c AS (SELECT *, list_filter(regexp_split_to_array(text, ''), lambda x: x <> '') AS chars, coalesce(lower(trim(source)) = 'ocr_text', false) AS ocr FROM ({_METRICS})),
+    b AS (SELECT *, CASE WHEN len(chars) = 0 THEN 0 ELSE list_reduce(list_transform(chars, lambda x: {{{{'c': x, 'n': 1, 'm': 1}}}}), lambda a, x: CASE WHEN a.c = x.c THEN {{{{'c': x.c, 'n': a.n + 1, 'm': greatest(a.m, a.n + 1)}}}} ELSE {{{{'c': x.c, 'n': 1, 'm': a.m}}}} END).m END AS longest_run,
+      regexp_split_to_array(regexp_replace(text, '[ 	
+
+]+', '', 'g'), '') AS solid FROM c),
+    s AS (SELECT *, CASE WHEN text_len > 0 THEN round(unique_char_count / text_len, 4) ELSE 0 END AS unique_share, CASE WHEN len(lines) > 0 THEN round(1 - len(list_distinct(lines)) / len(lines), 4) ELSE 0 END AS repeat_share, CASE WHEN text_len > 0 THEN round(digit_count / text_len, 4) ELSE 0 END AS digit_share FROM b),
+    p AS (SELECT doc_id, longest_run, len(list_distinct(solid)) = 1 AND len(solid) >= 64 AS degenerate, [
+      {{{{'w': text_len = 0, 'r': 'empty_text', 'p': 100}}}}, {{{{'w': text_len < CASE WHEN ocr THEN 8 ELSE 20 END, 'r': 'too_short', 'p': 25}}}}, {{{{'w': text_len > 3000, 'r': 'very_long_text', 'p': 10}}}}, {{{{'w': unique_share < 0.08 AND text_len >= 40, 'r': 'low_unique_char_ratio', 'p': 30}}}},
+      {{{{'w': repeat_share > 0.5 AND len(lines) >= 4, 'r': 'repeated_lines', 'p': 30}}}}, {{{{'w': longest_run >= 8, 'r': 'long_repeated_char_run', 'p': 25}}}},
+      {{{{'w': ocr AND (regexp_full_match(text, '[^\p{{L}}\p{{N}}]+') OR (text_len >= 9 AND longest_run = text_len) OR regexp_full_match(text, '[0-9 	
+
+:：./\\-_,，。]+')), 'r': 'ocr_noise_pattern', 'p': 35}}}}, {{{{'w': ocr AND digit_share > 0.85 AND text_len >= 20, 'r': 'mostly_digits', 'p': 15}}}},
+      {{{{'w': ocr AND cjk_count + latin_count = 0 AND text_len > 0, 'r': 'no_language_chars', 'p': 35}}}}, {{{{'w': NOT ocr AND text_len < 80 AND regexp_matches(text, '这是一张图片|这张图片|图中显示|画面中|可以看到|无法确定|无法判断|不清楚|看起来像'), 'r': 'generic_short_caption', 'p': 25}}}},
+      {{{{'w': NOT ocr AND contains(text, '无法') AND regexp_matches(text, '识别|确定|判断'), 'r': 'uncertain_or_refusal_like', 'p': 25}}}}] AS rules FROM s),
+    q AS (SELECT *, coalesce(list_sum(list_transform(list_filter(rules, lambda x: x.w), lambda x: x.p)), 0)::INT AS quality_score FROM p)
+    SELECT doc_id, longest_run, degenerate, quality_score, CASE WHEN quality_score >= 60 THEN 'suspicious_high' WHEN quality_score >= 30 THEN 'suspicious_medium' WHEN quality_score > 0 THEN 'review_low' ELSE 'ok' END AS quality_status, array_to_string(list_transform(list_filter(rules, lambda x: x.w), lambda x: x.r), '|') AS quality_reasons FROM q""".replace("{{", "{").replace("}}", "}")
+
+
+@query(QUALITY)
 def text_quality(t: Tables) -> DataFrame:
-    """Penalties need the longest run of one sign, for which SQL has no backreference; tested by brute force."""
     q = text.text_quality(F.col("text"), F.coalesce(F.lower(F.trim("source")) == "ocr_text", F.lit(False)))
     return t.documents.where("text is not null").select("doc_id", text.longest_run(F.col("text")).alias("longest_run"), text.is_degenerate(F.col("text")).alias("degenerate"), *[c.alias(k) for k, c in q.items()])
 

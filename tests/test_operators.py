@@ -153,6 +153,52 @@ def test_percentile_definitions_differ(spark):
     assert aggregates.percentile_nearest(df, ["g"], "v", 0.9).first().value == 9.0
     assert aggregates.percentile_round(df, ["g"], "v", 0.5).first().value == 5.0
     assert df.agg(aggregates.percentile_linear("v", 0.9)).first()[0] == pytest.approx(9.1)
+    assert tuple(aggregates.percentiles_linear(df, ["g"], "v", {"p": 0.9, "top": 1.0}).first()) == ("g", 10, pytest.approx(9.1), 10.0)
+
+
+def test_ranks_are_found_by_bucket_in_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(aggregates, "RANKED_AT_ONCE", 20)
+    monkeypatch.setattr(aggregates, "BUCKETS_OF_SPAN", 8)
+    r = random.Random(8)
+    data = [("hot", r.choice([5.0, 5.0, r.random(), 1e9 * r.random(), None])) for _ in range(900)] + [("b", -3.0), (None, 7.0), (None, 8.0), ("c", None)] + [("d", float(i)) for i in range(60)]
+    df = spark.createDataFrame(data, "g string, v double")
+    got = {(x.g, x.which): x.value for x in aggregates.value_at(df, ["g"], "v", {"low": lambda n: F.floor(n * 0.1), "high": lambda n: F.floor(n * 0.95)}).collect()}
+    for g in ("hot", "b", None, "d"):
+        own = sorted(v for k, v in data if k == g and v is not None)
+        assert (got[g, "low"], got[g, "high"]) == (own[int(len(own) * 0.1)], own[int(len(own) * 0.95)])
+    assert len(got) == 8 and aggregates.value_at(df.limit(0), ["g"], "v", {"q": lambda n: n - 1}).count() == 0
+
+
+def test_greedy_choices_over_stretches_are_those_of_whole_sources(spark):
+    r = random.Random(12)
+    data = [(r.choice("ab"), f"i{i:03d}", r.randrange(120) * 1000 + (10**6 if i % 3 else 0), float(r.randrange(20))) for i in range(220)]
+    df = spark.createDataFrame(data, "src string, id string, t long, v double")
+    alike = lambda a, b: (abs(a["t"] - b["t"]) <= 3000) & (abs(a["v"] - b["v"]) <= 3)
+    want_novel, want_apart, want_better = [], [], []
+    for s in "ab":
+        own = sorted((x for x in data if x[0] == s), key=lambda x: (-x[3], x[1]))
+        kept = []
+        for x in own:
+            if len(kept) < 9 and not any(abs(x[2] - k[2]) <= 3000 and abs(x[3] - k[3]) <= 3 for k in kept):
+                kept.append(x)
+        want_novel += [k[1] for k in kept]
+        kept = []
+        for x in own:
+            if len(kept) < 7 and all(abs(x[2] - k[2]) >= 5000 for k in kept):
+                kept.append(x)
+        want_apart += [k[1] for k in kept]
+        kept = []
+        for x in sorted(own, key=lambda x: (x[2], x[1])):
+            if kept and x[2] - kept[-1][2] < 4000:
+                kept[-1] = x if x[3] > kept[-1][3] else kept[-1]
+            else:
+                kept.append(x)
+        want_better += [k[1] for k in kept]
+    order = [("v", False), ("id", True)]
+    ids = lambda d: sorted(x.id for x in d.collect())
+    assert ids(greedy.novel_first(df, "src", "src string, id string", order, alike, 9, "t", 3000)) == sorted(want_novel)
+    assert ids(greedy.keep_apart(df, "src", "t", order, 5000, "src string, id string", cap=7)) == sorted(want_apart)
+    assert ids(greedy.better_of_near(df, "src", "t", "v", "id", 4000, "src string, id string")) == sorted(want_better)
 
 
 def test_mentions_equal_term_by_term_search(spark):
