@@ -8,8 +8,10 @@ tasks it ran: nothing that a later round reads lives on one machine.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +29,18 @@ CONF = {
 BROADCAST_ROWS = 100_000
 
 
-def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A session with the settings the operators are written for."""
+def session(master: str = "local[*]", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
+    """A session with the settings the operators are written for; the number of shuffle partitions is left to the cluster unless it is given.
+
+    Local workers find this package wherever they are started. On a cluster it is installed, or sent with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     builder = SparkSession.builder.master(master).appName("framelode")
-    for key, value in (CONF | {"spark.sql.shuffle.partitions": str(shuffle_partitions)} | conf).items():
+    given = {} if shuffle_partitions is None else {"spark.sql.shuffle.partitions": str(shuffle_partitions)}
+    for key, value in (CONF | given | conf).items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -97,8 +107,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` with at least two partitions a core, for work that is heavy per row; its own partitioning if that has as many."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.rdd().getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(3 * cores, *keys)
+    """``df`` with at least two partitions a core, for work that is heavy per row; its own partitioning if its size makes as many.
+
+    The size is the optimizer's estimate: nothing is run to find it.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    one = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes")))
+    return df if size >= 2 * cores * one else df.repartition(3 * cores, *keys)
