@@ -163,20 +163,34 @@ class Automaton:
 
 
 @lru_cache(maxsize=2)
-def automaton(path: str = BYTE_BPE_50K) -> Automaton:
-    """The automaton of a byte-level vocabulary file, compiled once a process."""
-    with open(path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+def compiled(vocabulary: str) -> Automaton:
+    """The automaton of the contents of a byte-level vocabulary file, compiled once a process."""
+    model = json.loads(vocabulary)["model"]
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     return Automaton(model["vocab"], merges)
 
 
-def _over(df: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
-    """``make`` gives, for the list of values of the last of ``columns``, an Arrow array; the others are passed on."""
+@lru_cache(maxsize=2)
+def _contents(path: str) -> str:
+    with open(path, encoding="utf-8") as file:
+        return file.read()
+
+
+def automaton(path: str = BYTE_BPE_50K) -> Automaton:
+    return compiled(_contents(path))
+
+
+def _over(df: DataFrame, columns: list[str], schema: str, path: str, make) -> DataFrame:
+    """``make`` gives, for an automaton and the list of values of the last of ``columns``, an Arrow array; the others are passed on.
+
+    The vocabulary file is read where the query is made and sent to the workers, a few megabytes of a fixed file.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(_contents(path))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = compiled(shared.value)
         for batch in batches:
-            made = make(batch.column(len(columns) - 1).to_pylist())
+            made = make(auto, batch.column(len(columns) - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*columns[:-1], "made"])
 
     return spread(df.select(*[F.col(f"`{c}`") for c in columns]), *[f"`{c}`" for c in columns]).mapInArrow(apply, schema)
@@ -190,16 +204,16 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = B
     are never read.
     """
     kind = df.schema[key].dataType.simpleString()
-    return _over(df, [key, text], f"`{key}` {kind}, made array<int>", lambda texts: pa.array([automaton(path).encode(t) for t in texts], pa.list_(pa.int32()))).withColumnRenamed("made", "ids")
+    return _over(df, [key, text], f"`{key}` {kind}, made array<int>", path, lambda auto, texts: pa.array([auto.encode(t) for t in texts], pa.list_(pa.int32()))).withColumnRenamed("made", "ids")
 
 
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str = BYTE_BPE_50K) -> DataFrame:
     """``*keep, tokens``: how many ids each text has."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return _over(df, [*keep, text], f"{kinds}, made long", lambda texts: pa.array([len(automaton(path).encode(t)) for t in texts], pa.int64())).withColumnRenamed("made", "tokens")
+    return _over(df, [*keep, text], f"{kinds}, made long", path, lambda auto, texts: pa.array([len(auto.encode(t)) for t in texts], pa.int64())).withColumnRenamed("made", "tokens")
 
 
 def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", path: str = BYTE_BPE_50K) -> DataFrame:
     """``key, text`` from ids; null and empty lists give an empty text."""
     kind = df.schema[key].dataType.simpleString()
-    return _over(df, [key, ids], f"`{key}` {kind}, made string", lambda lists: pa.array([automaton(path).decode(i or ()) for i in lists], pa.string())).withColumnRenamed("made", "text")
+    return _over(df, [key, ids], f"`{key}` {kind}, made string", path, lambda auto, lists: pa.array([auto.decode(i or ()) for i in lists], pa.string())).withColumnRenamed("made", "text")

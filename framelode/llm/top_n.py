@@ -20,6 +20,8 @@ from framelode.runtime import Scratch, bounded_broadcast
 
 #: Quantiles of the score at which bands are cut, from the top.
 CUTS = (0.9, 0.6, 0.3)
+#: Open groups up to which they are sent to every worker; more are joined.
+MOST_SENT = 20_000
 
 
 def _same(left: DataFrame, right: DataFrame, n: int):
@@ -69,7 +71,7 @@ def top_n_per_group(df: DataFrame, keys: list[str], score: str, tie: str, n: int
             left = open_.count()
             if not left:
                 break
-            ranked = rows.join(bounded_broadcast(open_, left), _same(rows, open_, len(keys)))
+            ranked = rows.join(bounded_broadcast(open_, left, MOST_SENT), _same(rows, open_, len(keys)))
         ranked = ranked.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= n).where(F.col("_rank") + F.col("_kept") <= n)
         picked.append(scratch.put(ranked.select("_row", *keys_), f"picked{b}"))
         if b < len(cuts):
