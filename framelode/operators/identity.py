@@ -74,11 +74,12 @@ def policy_verdict(total: Column, covered: Column, duplicates: Column, leaks: Co
     return F.when(leaks > 0, "FAIL").when((covered < 0.95 * total) | (duplicates > 0.8 * total), "REVIEW").otherwise("PASS")
 
 
-def similar_pairs(items: DataFrame, key: str, vector: str, least: float, unit: str | None = None, planes: int = 12, tables: int = 8) -> DataFrame:
+def similar_pairs(items: DataFrame, key: str, vector: str, least: float, unit: str | None = None, planes: int = 10, tables: int = 16) -> DataFrame:
     """Pairs of items with cosine of at least ``least``, found among items that share a random-hyperplane bucket.
 
     Each of ``tables`` tables cuts the space by ``planes`` fixed planes, so only items of one bucket meet. Pairs are
-    checked exactly; a pair is missed only if no table puts both in one bucket.
+    checked exactly; a pair is missed only if no table puts both in one bucket. Of pairs at cosine c a share of
+    1 - (1 - (1 - acos(c) / pi) ** planes) ** tables is found: 0.98 at 0.9 and 0.91 at 0.85 as it is set. ``scan_queries`` is exact.
     """
     from framelode.functions import vectors
 

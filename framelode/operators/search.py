@@ -50,8 +50,11 @@ def request_id(identity: dict[str, Column]) -> Column:
     return F.substring(F.sha2(hashing.canonical_json(identity), 256), 1, 24)
 
 
-def scan(items: DataFrame, key: str, vector: str, query: list[float], name: str = "score") -> DataFrame:
-    """The product with the query for every item: one pass, no shuffle, the query a constant of the plan."""
+def scan(items: DataFrame, key: str, vector: str, query: list[float] | DataFrame, name: str = "score") -> DataFrame:
+    """The product with the query for every item: one pass, no shuffle; the query is a constant of the plan, or the first row of a table with one column."""
+    if isinstance(query, DataFrame):
+        one = query.select(F.col(query.columns[0]).alias("_q")).limit(1)
+        return items.join(F.broadcast(one)).select(key, vectors.dot(F.col(vector), F.col("_q")).alias(name))
     return items.select(key, vectors.dot(F.col(vector), F.array(*[F.lit(float(x)) for x in query])).alias(name))
 
 

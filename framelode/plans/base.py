@@ -32,7 +32,9 @@ class Tables:
         self.spark, self.d = spark, d
 
     def __getattr__(self, name: str) -> DataFrame:
-        return table(self.spark, self.d, name)
+        """A table, opened once a query."""
+        opened = self.__dict__[name] = table(self.spark, self.d, name)
+        return opened
 
     @property
     def frames(self) -> DataFrame:

@@ -25,7 +25,7 @@ _DOT = "list_inner_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM
 
 @query(f"SELECT vec_id, round({_DOT.format(VISUAL)}, 5) AS score FROM embeddings ORDER BY {_DOT.format(VISUAL)} DESC, vec_id LIMIT 50")
 def vector_top(t: Tables) -> DataFrame:
-    return search.top(search.scan(t.embeddings, "vec_id", "embedding", _vector(t, VISUAL)), "vec_id", "score", 50).select("vec_id", F.round("score", 5).alias("score"))
+    return search.top(search.scan(t.embeddings, "vec_id", "embedding", t.embeddings.where(F.col("vec_id") == VISUAL).select("embedding")), "vec_id", "score", 50).select("vec_id", F.round("score", 5).alias("score"))
 
 
 @query(f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {TEXT})), 5) AS cosine, abs(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) <= 0.001 AS valid FROM embeddings")
