@@ -9,12 +9,13 @@ from framelode.functions import hashing, vectors
 from framelode.functions.text import strip
 
 
-def neighbours(frames: DataFrame, source: str, time: str, key: str, radius: int = 3) -> DataFrame:
-    """Every frame with those up to ``radius`` ranks away in its source: an equi-join on (source, rank), not a range join."""
+def neighbours(frames: DataFrame, source: str, time: str, key: str, radius: int = 3, anchors: DataFrame | None = None) -> DataFrame:
+    """Every frame (or those whose keys ``anchors`` lists) with those up to ``radius`` ranks away in its source: an equi-join on (source, rank), not a range join."""
     w = Window.partitionBy("s").orderBy("t", "id")
     ranked = frames.select(F.col(source).alias("s"), F.col(key).alias("id"), F.col(time).alias("t")).withColumn("r", F.row_number().over(w))
     steps = F.array(*[F.lit(i) for i in range(-radius, radius + 1) if i])
-    left = ranked.select("s", F.col("id").alias("anchor"), F.explode(steps).alias("step"), "r").select("s", "anchor", "step", (F.col("r") + F.col("step")).alias("r"))
+    own = ranked if anchors is None else ranked.join(anchors.select(F.col(anchors.columns[0]).alias("id")), "id", "left_semi")
+    left = own.select("s", F.col("id").alias("anchor"), F.explode(steps).alias("step"), "r").select("s", "anchor", "step", (F.col("r") + F.col("step")).alias("r"))
     return left.join(ranked.select("s", "r", F.col("id").alias("target")), ["s", "r"]).select(F.col("s").alias(source), "anchor", "target", F.abs("step").alias("step"))
 
 
@@ -32,10 +33,14 @@ def anchor_texts(evidence: DataFrame, unit: str, text: str, modality: str, statu
     return evidence.where(sound).select(F.col(unit).alias("unit"), F.col(text).alias("text"))
 
 
-def propagate(pairs: DataFrame, mentioned: DataFrame, labels: DataFrame) -> DataFrame:
-    """A label goes from anchor to target if the anchor's text mentions it and both frames have it; once, never further."""
+def propagate(pairs: DataFrame, mentioned: DataFrame, labels: DataFrame, own: bool = False) -> DataFrame:
+    """A label goes from anchor to target if the anchor's text mentions it and both frames have it; once, never further.
+
+    ``own``: what is mentioned are labels of the anchor already.
+    """
     carried = pairs.join(mentioned.select(F.col("unit").alias("anchor"), "label"), "anchor")
-    carried = carried.join(labels.select(F.col("unit").alias("anchor"), "label"), ["anchor", "label"], "left_semi")
+    if not own:
+        carried = carried.join(labels.select(F.col("unit").alias("anchor"), "label"), ["anchor", "label"], "left_semi")
     shared = carried.join(labels.select(F.col("unit").alias("target"), "label"), ["target", "label"], "left_semi")
     overlap = shared.groupBy("anchor", "target", "step").agg(F.collect_set("label").alias("ls"))
     flat = overlap.select("anchor", "target", "step", F.size("ls").alias("overlap"), F.explode("ls").alias("label"))

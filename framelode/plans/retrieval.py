@@ -11,6 +11,7 @@ from framelode.functions import hashing, text, times, vectors
 from framelode.operators import audit, components, evidence, greedy, identity, search, selection, tables, windows
 from framelode.plans.base import FILES, FRAMES, HASHED, LABELS, LISTED, NOVEL, QUEUE, SQUEEZED, Tables, narrow, query
 from framelode.plans.texts import QUALITY, STRIP
+from framelode.runtime import Scratch
 
 #: The vectors that stand for the embedded query of the visual and of the text channel: models are not run here.
 VISUAL, TEXT = 7, 11
@@ -181,8 +182,6 @@ def identity_clusters(t: Tables) -> DataFrame:
 
     The pairs are found exactly, in blocks. They are taken a little below the limit, as rounding differs by block; the merge tests the limit itself.
     """
-    from framelode.runtime import Scratch
-
     scratch = Scratch(t.spark, "identity")
     nodes = t.embeddings.select("vec_id", F.concat_ws("-", "label", (F.col("vec_id") % 7).cast("string")).alias("unit"), "embedding")
     edges = identity.scan_queries(nodes, nodes, "vec_id", "embedding", 0.5 - 1e-9).where("query < item").select(F.col("query").alias("a"), F.col("item").alias("b"))
@@ -325,9 +324,9 @@ def _propagated(t: Tables) -> DataFrame:
     """
     texts = t.documents.select("visual_unit_id", _squeezed("text").alias("text"), F.lower(text.strip(F.col("source"))).alias("modality"), F.lit("PASS").alias("status"))
     own = evidence.anchor_texts(texts, "visual_unit_id", "text", "modality", "status", ("qwenvl_caption",)).distinct()
-    labels = evidence.confident_labels(t.labels, "unit", "label")
-    met = own.join(labels, "unit").join(_label_terms(t), "label").where(text.term_matches(F.col("text"), F.col("term")))
-    return evidence.propagate(evidence.neighbours(t.frames, "src", "t", "id"), met.select("unit", "label").distinct(), labels)
+    met = own.join(t.labels, "unit").join(_label_terms(t), "label").where(text.term_matches(F.col("text"), F.col("term")))
+    said = Scratch(t.spark, "propagated").put(met.select("unit", "label").distinct(), "said")
+    return evidence.propagate(evidence.neighbours(t.frames, "src", "t", "id", anchors=said), said, t.labels, own=True)
 
 
 @query(_PAIRS + " SELECT anchor, target, step, overlap, label, confidence FROM e")
@@ -431,7 +430,6 @@ def review_sample(t: Tables) -> DataFrame:
     SELECT user_id, sum(begins)::BIGINT AS sessions, count(*) AS events FROM e GROUP BY user_id""")
 def streamed_sessions(t: Tables) -> DataFrame:
     """The event table as a stream: sessions with gaps under eight hours. Each batch's result replaces the one before in the shared folder; nothing goes through the driver."""
-    from framelode.runtime import Scratch
     from framelode.streaming import streams
 
     root = Scratch(t.spark, "sessions").root
