@@ -27,6 +27,12 @@ def normalize_query(text: str) -> str:
     return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text)).strip()
 
 
+@F.pandas_udf(T.StringType())
+def folded_query(s: pd.Series) -> pd.Series:
+    """The normal form of a query without regard to case, in one pass."""
+    return s.map(lambda x: None if x is None else normalize_query(x).casefold())
+
+
 def normal_query_column(c: Column) -> Column:
     return F.trim(F.regexp_replace(nfkc(c), r"(?U)\s+", " "))
 
@@ -57,7 +63,7 @@ def has_exact_query(text: Column, query: str) -> Column:
     q = normalize_query(query).casefold()
     if not q:
         return F.lit(False)
-    folded = casefold(normal_query_column(text))
+    folded = folded_query(text)
     return F.array_contains(F.split(folded, _PARTS), q) if len(q) == 1 and "\u3400" <= q <= "\u9fff" else F.contains(folded, F.lit(q))
 
 

@@ -23,25 +23,33 @@ def value_at(df: DataFrame, keys: list[str], value: str, wanted: dict[str, Calla
     """
     scratch = Scratch(df.sparkSession, "ranks")
     names = [f"_k{i}" for i in range(len(keys))]
-    rows = scratch.put(df.where(F.col(value).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).cast("double").alias("v")), "values")
+    rows = df.where(F.col(value).isNotNull()).select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).cast("double").alias("v"))
     groups = rows.groupBy(*names).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     listed = F.array(*[F.struct(F.lit(w).alias("which"), rank(F.col("n")).cast("long").alias("r")) for w, rank in wanted.items()])
     state = scratch.put(groups.withColumn("x", F.explode(listed)).select(*names, "x.which", "x.r", "n", "lo", "hi", F.col("n").alias("left")), "state")
 
     def inside() -> DataFrame:
-        asked = bounded_broadcast(state, state.count())
+        asked = bounded_broadcast(state, ranks)
         return rows.alias("a").join(asked.alias("b"), same_of("a", "b") & F.col("v").between(F.col("lo"), F.col("hi"))).select(*[F.col(f"b.{n}").alias(n) for n in names], "which", "r", "n", "lo", "hi", "v")
 
     def same_of(a: str, b: str) -> Column:
         return reduce(lambda x, y: x & y, [F.col(f"{a}.{n}").eqNullSafe(F.col(f"{b}.{n}")) for n in names], F.lit(True))
 
-    while not state.where((F.col("left") > RANKED_AT_ONCE) & (F.col("lo") < F.col("hi"))).isEmpty():
+    def largest() -> tuple[int, int]:
+        """How many ranks are asked for, and the rows that the largest of their spans holds."""
+        return state.agg(F.count("*"), F.coalesce(F.max(F.when(F.col("lo") < F.col("hi"), F.col("left"))), F.lit(0))).first()
+
+    ranks, most = largest()
+    if most > RANKED_AT_ONCE:
+        rows = scratch.put(rows, "values")
+    while most > RANKED_AT_ONCE:
         place = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(BUCKETS_OF_SPAN - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BUCKETS_OF_SPAN))).otherwise(0)
         counted = inside().groupBy(*names, "which", "r", "n", place.alias("bucket")).agg(F.count("*").alias("left"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         line = Window.partitionBy(*names, "which").orderBy("bucket")  # at most BUCKETS_OF_SPAN rows
         summed = counted.withColumn("upto", F.sum("left").over(line)).where(F.col("upto") > F.col("r"))
         first = summed.groupBy(*names, "which").agg(F.min(F.struct("bucket", "upto", "left", "lo", "hi", "r", "n")).alias("x"))
         state = scratch.put(first.select(*names, "which", (F.col("x.r") - (F.col("x.upto") - F.col("x.left"))).alias("r"), "x.n", "x.lo", "x.hi", "x.left"), "state")
+        most = largest()[1]
     few = inside().where("lo < hi").withColumn("_r", F.row_number().over(Window.partitionBy(*names, "which").orderBy("v")) - 1).where(F.col("_r") == F.col("r")).select(*names, "which", "v", "n")
     found = few.unionAll(state.where("lo = hi").select(*names, "which", F.col("lo").alias("v"), "n"))
     return found.select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "which", F.col("v").alias("value"), "n")

@@ -57,14 +57,13 @@ def mentions(docs: DataFrame, doc: str, body: str, terms: DataFrame) -> DataFram
 
     known = terms.select(F.lower(F.trim(terms[terms.columns[0]])).alias("term")).where("term <> ''").distinct()
     word = F.regexp_extract("term", "^[a-z0-9]+", 0)
-    keyed = known.withColumn("key", F.when(word != "", F.concat(F.lit("w"), word)).otherwise(F.concat(F.lit("s"), F.substring("term", 1, 2))))
+    keyed = known.withColumn("key", F.when(word != "", word).otherwise(F.substring("term", 1, 2)))
     text = docs.where(F.col(body).isNotNull()).select(F.col(doc), F.lower(body).alias("x"))
-    words = F.transform(F.array_distinct(F.regexp_extract_all("x", F.lit("[a-z0-9]+"), F.lit(0))), lambda x: F.concat(F.lit("w"), x))
-    signs = F.filter(F.split("x", ""), lambda x: x != "")
-    two = F.zip_with(signs, F.slice(signs, 2, F.greatest(F.size(signs), F.lit(1))), lambda p, q: F.concat(p, F.coalesce(q, F.lit(""))))
-    spans = F.transform(F.array_distinct(F.concat(signs, F.filter(two, lambda x: ~x.rlike("^[a-z0-9]")))), lambda x: F.concat(F.lit("s"), x))
-    met = text.select(doc, F.explode(F.concat(words, spans)).alias("key")).join(keyed, "key").select(doc, "term", "key").distinct()
-    whole = met.where(F.col("key") == F.concat(F.when(F.col("term").rlike("^[a-z0-9]"), "w").otherwise("s"), F.col("term"))).where(~F.col("term").rlike("[a-z0-9]") | F.col("key").startswith("w")).select(doc, "term")
+    found = lambda p, group: F.regexp_extract_all("x", F.lit(p), F.lit(group))
+    keys = F.concat(found("[a-z0-9]+", 0), found(r"[^a-z0-9\s]", 0), found(r"(?s)(?=([^a-z0-9\s].))", 1))
+    met = text.select(doc, F.explode(F.array_distinct(keys)).alias("key")).join(keyed, "key").select(doc, "term", "key").distinct()
+    # A term that is its own key is mentioned, but for terms that need boundaries and begin with another sign.
+    whole = met.where((F.col("key") == F.col("term")) & (~F.col("term").rlike("[a-z0-9]") | F.col("term").rlike("^[a-z0-9]"))).select(doc, "term")
     rest = met.select(doc, "term").join(whole, [doc, "term"], "left_anti")
     return whole.unionAll(rest.join(text, doc).where(term_matches(F.col("x"), F.col("term"))).select(doc, "term"))
 

@@ -9,7 +9,7 @@ that grows like a sort.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable
 
 import numpy as np
@@ -24,9 +24,17 @@ def _grouped(df: DataFrame, keys: list[str], choose: Callable[[pd.DataFrame], pd
     return df.groupBy(*keys).applyInPandas(lambda g: choose(g)[[c.strip().split(" ")[0] for c in schema.split(",")]], schema)
 
 
+#: Rows of a source from which it is cut at its next long gap.
+PART_ROWS = 5_000
+
+
 def _stretches(df: DataFrame, source: str, time: str, reach: int) -> DataFrame:
-    """``df`` with ``_stretch``: rows more than ``reach`` apart, with none between, lie in different ones."""
-    return windows.islands(df, source, [time], F.col(time) - F.lag(time).over(windows.in_source(source, time)) > reach, "_stretch")
+    """``df`` with ``_stretch``: a source is cut only between rows more than ``reach`` apart, and only into parts of about PART_ROWS or more rows."""
+    w = windows.in_source(source, time)
+    begins = F.coalesce(F.col(time) - F.lag(time).over(w) > reach, F.lit(True))
+    placed = df.withColumn("_b", begins).withColumn("_r", F.row_number().over(w))
+    start = F.max(F.when(F.col("_b"), F.col("_r"))).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("_stretch", F.floor(start / PART_ROWS)).drop("_b", "_r")
 
 
 def _first(df: DataFrame, source: str, order: list[tuple[str, bool]], cap: int) -> DataFrame:
@@ -89,30 +97,34 @@ def time_coverage(df: DataFrame, source: str, time: str, tie: str, every: int, m
         t = g[time].to_numpy(np.int64)
         n = len(t)
 
-        def nearest(at: np.ndarray, low: int, high: int) -> np.ndarray:
-            """The first row in [low, high) nearest to each time."""
-            part = t[low:high]
-            after = np.clip(np.searchsorted(part, at), 0, len(part) - 1)
-            before = np.clip(after - 1, 0, len(part) - 1)
-            best = np.where(np.abs(part[before] - at) <= np.abs(part[after] - at), part[before], part[after])
-            return low + np.searchsorted(part, best)
+        def nearest(at: np.ndarray) -> np.ndarray:
+            """The first row nearest to each time."""
+            after = np.clip(np.searchsorted(t, at), 0, n - 1)
+            before = np.clip(after - 1, 0, n - 1)
+            best = np.where(np.abs(t[before] - at) <= np.abs(t[after] - at), t[before], t[after])
+            return np.searchsorted(t, best)
 
         chosen = {0}
         if n > 1:
             if t[-1] - t[0] <= every:
                 chosen.add(n - 1)
             else:
-                chosen.update(nearest(np.arange(int(t[0]) + every, int(t[-1]) + 1, every), 0, n).tolist())
+                chosen.update(nearest(np.arange(int(t[0]) + every, int(t[-1]) + 1, every)).tolist())
             at = sorted(chosen)
+            times = t.tolist()
             gaps = list(zip(at, at[1:], strict=False)) if most > 0 else []
             while gaps:
                 a, b = gaps.pop()
-                if t[b] - t[a] <= most:
+                if times[b] - times[a] <= most:
                     continue
-                low, high = int(np.searchsorted(t, t[a], "right")), int(np.searchsorted(t, t[b], "left"))
+                low, high = bisect_right(times, times[a]), bisect_left(times, times[b])
                 if low >= high:
                     continue
-                middle = int(nearest(np.array([(int(t[a]) + int(t[b])) // 2]), low, high)[0])
+                aim = (times[a] + times[b]) // 2
+                after = min(bisect_left(times, aim, low, high), high - 1)
+                before = max(after - 1, low)
+                best = times[before] if abs(times[before] - aim) <= abs(times[after] - aim) else times[after]
+                middle = bisect_left(times, best, low, high)
                 chosen.add(middle)
                 gaps += [(a, middle), (middle, b)]
         return g.iloc[sorted(chosen)]

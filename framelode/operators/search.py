@@ -81,7 +81,7 @@ def registry_terms(registry: DataFrame) -> DataFrame:
 def object_evidence(labels: DataFrame, terms: DataFrame, query: str, unit: str) -> DataFrame:
     """Units with a label one of whose terms equals the query in normal form without regard to case, with the best confidence."""
     wanted = text.normalize_query(query).casefold()
-    hit = terms.where(text.casefold(text.normal_query_column(F.col("term"))) == wanted).select("label").distinct() if wanted else terms.select("label").limit(0)
+    hit = terms.where(text.folded_query(F.col("term")) == wanted).select("label").distinct() if wanted else terms.select("label").limit(0)
     return labels.join(bounded_broadcast(hit, hit.limit(BROADCAST_ROWS + 1).count()), "label", "left_semi").groupBy(unit).agg(F.max("confidence").alias("confidence"))
 
 
@@ -92,19 +92,16 @@ def fuse(hits: DataFrame, key: str, config: SearchConfig, scratch: Scratch | Non
     the parts up. Rows with a score that isn't finite end the search with an error.
     """
     scratch = scratch or Scratch(hits.sparkSession, "fuse")
-    table = scratch.put(hits, "hits")
-    odd = reduce(lambda a, b: a | b, [F.isnan(F.col(c)) | (F.abs(c) == float("inf")) for c in config.weights])
-    if not table.where(odd).isEmpty():
-        raise ValueError("a score isn't finite")
-    parts = []
-    for channel, weight in config.weights.items():
-        found = table.where(F.col(channel).isNotNull()).select(key, channel)
-        ranked = windows.global_rank(found, [F.desc(channel), F.asc(key)], "rank")
-        parts.append(ranked.select(key, (F.lit(weight) / (config.k + F.col("rank"))).alias("part"), F.lit(channel).alias("channel"), "rank"))
-    own = [F.max(F.when(F.col("channel") == c, F.col("part"))).alias(f"part_{c}") for c in config.weights] + [F.max(F.when(F.col("channel") == c, F.col("rank"))).alias(f"rank_{c}") for c in config.weights]
-    summed = reduce(DataFrame.unionAll, parts).groupBy(key).agg(*own)
-    score = reduce(lambda a, b: a + b, [F.coalesce(f"part_{c}", F.lit(0.0)) for c in config.weights])
-    return table.join(summed, key, "left").withColumn("rrf", score).drop(*[f"part_{c}" for c in config.weights])
+    finite = lambda c: F.when(F.isnan(F.col(c)) | (F.abs(c) == float("inf")), F.raise_error(F.lit("a score isn't finite")).cast("double")).otherwise(F.col(c)).alias(c)
+    table = scratch.put(hits.select(*[finite(c) if c in config.weights else F.col(c) for c in hits.columns]), "hits")
+    # All channels are ranked at once, one after the other; a channel's ranks begin behind the hits of those before it.
+    listed = F.filter(F.array(*[F.struct(F.lit(i).alias("channel"), F.col(c).alias("score")) for i, c in enumerate(config.weights)]), lambda x: x["score"].isNotNull())
+    ranked = windows.global_rank(table.select(key, F.explode(listed).alias("x")).select(key, "x.channel", "x.score"), [F.asc("channel"), F.desc("score"), F.asc(key)], "place")
+    sizes = table.agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(config.weights)]).first()
+    before = F.array(*[F.lit(sum(sizes[:i])) for i in range(len(sizes))])
+    own = ranked.groupBy(key).agg(*[F.max(F.when(F.col("channel") == i, F.col("place") - before[i])).alias(f"rank_{c}") for i, c in enumerate(config.weights)])
+    score = reduce(lambda a, b: a + b, [F.coalesce(F.lit(w) / (config.k + F.col(f"rank_{c}")), F.lit(0.0)) for c, w in config.weights.items()])
+    return table.join(own, key, "left").withColumn("rrf", score)
 
 
 def reranked(key: str) -> list[Column]:
