@@ -12,7 +12,7 @@ from framelode.runtime import Scratch, bounded_broadcast
 
 
 #: Buckets into which the span of a group is cut, and rows of a group that are then ranked at once.
-BUCKETS_OF_SPAN, RANKED_AT_ONCE = 2048, 50_000
+BUCKETS_OF_SPAN, RANKED_AT_ONCE = 2048, 1_000_000
 
 
 def value_at(df: DataFrame, keys: list[str], value: str, wanted: dict[str, Callable[[Column], Column]]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framelode.functions import hashing, vectors
 from framelode.functions.text import strip
+from framelode.runtime import bounded_broadcast
 
 
 def neighbours(frames: DataFrame, source: str, time: str, key: str, radius: int = 3, anchors: DataFrame | None = None) -> DataFrame:
@@ -61,7 +62,7 @@ def mentions(docs: DataFrame, doc: str, body: str, terms: DataFrame) -> DataFram
     text = docs.where(F.col(body).isNotNull()).select(F.col(doc), F.lower(body).alias("x"))
     found = lambda p, group: F.regexp_extract_all("x", F.lit(p), F.lit(group))
     keys = F.concat(found("[a-z0-9]+", 0), found(r"[^a-z0-9\s]", 0), found(r"(?s)(?=([^a-z0-9\s].))", 1))
-    met = text.select(doc, F.explode(F.array_distinct(keys)).alias("key")).join(keyed, "key").select(doc, "term", "key").distinct()
+    met = text.select(doc, F.explode(F.array_distinct(keys)).alias("key")).join(bounded_broadcast(keyed, keyed.count()), "key").select(doc, "term", "key").distinct()
     # A term that is its own key is mentioned, but for terms that need boundaries and begin with another sign.
     whole = met.where((F.col("key") == F.col("term")) & (~F.col("term").rlike("[a-z0-9]") | F.col("term").rlike("^[a-z0-9]"))).select(doc, "term")
     rest = met.select(doc, "term").join(whole, [doc, "term"], "left_anti")
