@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from framelode.functions import hashing, vectors
 from framelode.functions.text import strip
-from framelode.runtime import bounded_broadcast
+from framelode.runtime import bounded_broadcast, spread
 
 
 def neighbours(frames: DataFrame, source: str, time: str, key: str, radius: int = 3, anchors: DataFrame | None = None) -> DataFrame:
@@ -59,7 +59,7 @@ def mentions(docs: DataFrame, doc: str, body: str, terms: DataFrame) -> DataFram
     known = terms.select(F.lower(F.trim(terms[terms.columns[0]])).alias("term")).where("term <> ''").distinct()
     word = F.regexp_extract("term", "^[a-z0-9]+", 0)
     keyed = known.withColumn("key", F.when(word != "", word).otherwise(F.substring("term", 1, 2)))
-    text = docs.where(F.col(body).isNotNull()).select(F.col(doc), F.lower(body).alias("x"))
+    text = spread(docs.where(F.col(body).isNotNull()).select(F.col(doc), F.lower(body).alias("x")), doc)
     found = lambda p, group: F.regexp_extract_all("x", F.lit(p), F.lit(group))
     keys = F.concat(found("[a-z0-9]+", 0), found(r"[^a-z0-9\s]", 0), found(r"(?s)(?=([^a-z0-9\s].))", 1))
     met = text.select(doc, F.explode(F.array_distinct(keys)).alias("key")).join(bounded_broadcast(keyed, keyed.count()), "key").select(doc, "term", "key").distinct()

@@ -18,14 +18,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelode.operators import windows
+from framelode.runtime import spread
 
 
 def _grouped(df: DataFrame, keys: list[str], choose: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return df.groupBy(*keys).applyInPandas(lambda g: choose(g)[[c.strip().split(" ")[0] for c in schema.split(",")]], schema)
+    """Groups lie in as many tasks as there are cores, however small they are: the work is in the function, not in the bytes."""
+    return spread(df, *keys).groupBy(*keys).applyInPandas(lambda g: choose(g)[[c.strip().split(" ")[0] for c in schema.split(",")]], schema)
 
 
 #: Rows of a source from which it is cut at its next long gap.
-PART_ROWS = 5_000
+PART_ROWS = 500
 
 
 def _stretches(df: DataFrame, source: str, time: str, reach: int) -> DataFrame:
@@ -179,11 +181,15 @@ def leaders(df: DataFrame, source: str, schema: str, order: list[tuple[str, bool
     def choose(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values([c for c, _ in order], ascending=[a for _, a in order], kind="stable").reset_index(drop=True)
         values = {c: g[c].to_numpy() for c in g.columns}
+        heads = {c: np.empty_like(v) for c, v in values.items()}
         found: list[int] = []
         leader = []
         for i in range(len(g)):
-            hits = np.flatnonzero(same({c: v[i] for c, v in values.items()}, {c: v[found] for c, v in values.items()})) if found else ()
+            row, n = {c: v[i] for c, v in values.items()}, len(found)
+            hits = np.flatnonzero(same(row, {c: v[:n] for c, v in heads.items()})) if n else ()
             if not len(hits):
+                for c, x in row.items():
+                    heads[c][n] = x
                 found.append(i)
             leader.append(found[hits[0]] if len(hits) else i)
         return g.assign(leader=values[key][leader])
