@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelode.functions import text
+from framelode.functions import text, vectors
 from framelode.operators import catalogue, search, tables
-from framelode.plans.base import FRAMES, QUEUE, Tables, query
+from framelode.plans.base import FRAMES, LABELS, QUEUE, Tables, query
 from framelode.plans.fixtures import rows, values
 from framelode.plans.retrieval import _relevant
 
@@ -178,3 +178,63 @@ def result_contract(t: Tables) -> DataFrame:
     """What a client gets of the first hits: their place, reasons and the fields these lie in."""
     top = _relevant(t).orderBy(*search.reranked("vec_id")).limit(20)
     return top.select("vec_id", "relevance", "rrf", "reasons", search.hit_fields(F.col("reasons")).alias("hit_field"))
+
+
+@query(f"""WITH {FRAMES}, {LABELS}, g AS (SELECT unit, list(label) AS ls FROM l GROUP BY unit), j AS (SELECT f.id, f.src, f.t, coalesce(ls, []::VARCHAR[]) AS ls FROM f LEFT JOIN g ON unit = id), p AS (SELECT id, ls, lag(ls) OVER (PARTITION BY src ORDER BY t, id) AS before FROM j),
+    c AS (SELECT id, len(ls) AS a, len(before) AS b, len(list_intersect(ls, before)) AS k FROM p WHERE before IS NOT NULL), u AS (SELECT *, a + b - k AS n FROM c)
+    SELECT id, round(CASE WHEN a > 0 AND b > 0 THEN k / n END, 9) AS jaccard, round(CASE WHEN n > 0 THEN 1 - k / n ELSE 0 END, 9) AS distance, round(CASE WHEN n > 0 THEN k / n ELSE 1 END, 9) AS share FROM u""")
+def label_set_changes(t: Tables) -> DataFrame:
+    """How far the labels of each frame are those of the frame before it; the three definitions differ where sets are empty."""
+    from framelode.operators import windows
+
+    sets = t.labels.groupBy("unit").agg(F.collect_set("label").alias("ls"))
+    j = t.frames.join(sets, F.col("id") == F.col("unit"), "left").withColumn("ls", F.coalesce("ls", F.array().cast("array<string>")))
+    p = j.withColumn("before", F.lag("ls").over(windows.in_source("src", "t", "id"))).where("before is not null")
+    a, b = F.col("ls"), F.col("before")
+    return p.select("id", F.round(vectors.jaccard(a, b), 9).alias("jaccard"), F.round(vectors.jaccard_distance(a, b), 9).alias("distance"), F.round(vectors.jaccard_full(a, b), 9).alias("share"))
+
+
+@query("""WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 11), e AS (SELECT vec_id, embedding::DOUBLE[] AS v, q, list_transform(embedding::DOUBLE[], lambda x: abs(x)) AS h, list_transform(q, lambda x: abs(x)) AS g FROM embeddings, q),
+    s AS (SELECT *, list_avg(v) AS mv, list_avg(q) AS mq, sqrt(list_inner_product(v, v)) AS n, list_sum(h) AS total FROM e)
+    SELECT vec_id, round(v[1] / n, 5) AS first, round(list_sum(list_transform(list_zip(v, q), lambda x: (x[1] - mv) * (x[2] - mq))) / sqrt(list_sum(list_transform(v, lambda x: (x - mv) * (x - mv))) * list_sum(list_transform(q, lambda x: (x - mq) * (x - mq)))), 5) AS correlation,
+      round(list_sum(list_transform(h, lambda x: CASE WHEN x > 0 THEN -(x / total) * log2(x / total) ELSE 0 END)) / log2(64), 5) AS entropy, round(list_sum(list_transform(list_zip(h, g), lambda x: abs(x[1] - x[2]))), 5) AS histogram_distance FROM s""")
+def vector_shapes(t: Tables) -> DataFrame:
+    """Unit form, correlation with one vector, and entropy and distance of the components' sizes read as histograms."""
+    one = t.embeddings.where("vec_id = 11").select(F.col("embedding").cast("array<double>").alias("q")).limit(1)
+    e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).join(F.broadcast(one))
+    size = lambda c: F.transform(c, lambda x: F.abs(x))
+    return e.select(
+        "vec_id", F.round(F.get(vectors.normalize(F.col("v")), 0), 5).alias("first"), F.round(vectors.correlation(F.col("v"), F.col("q")), 5).alias("correlation"),
+        F.round(vectors.entropy(size("v"), 64), 5).alias("entropy"), F.round(vectors.histogram_distance(size("v"), size("q")), 5).alias("histogram_distance"),
+    )
+
+
+@query(f"""WITH {values('pixel_boxes')}, p AS (SELECT *, greatest(x1, y1, x2, y2) > 1.5 AS px FROM pixel_boxes), n AS (SELECT box, least(greatest(CASE WHEN px THEN x1 / width ELSE x1 END, 0), 1) AS a, least(greatest(CASE WHEN px THEN y1 / height ELSE y1 END, 0), 1) AS b, least(greatest(CASE WHEN px THEN x2 / width ELSE x2 END, 0), 1) AS c, least(greatest(CASE WHEN px THEN y2 / height ELSE y2 END, 0), 1) AS d FROM p)
+    SELECT box, round((c - a) * (d - b), 9) AS area, round(sqrt(((a + c) / 2 - 0.5) ** 2 + ((b + d) / 2 - 0.5) ** 2), 9) AS from_center, a <= 0.02 OR b <= 0.02 OR c >= 0.98 OR d >= 0.98 AS at_edge FROM n WHERE c > a AND d > b""")
+def unit_boxes(t: Tables) -> DataFrame:
+    b = rows(t, "pixel_boxes").withColumn("b", vectors.normal_box(F.array("x1", "y1", "x2", "y2"), F.col("width"), F.col("height"))).where("b is not null")
+    return b.select("box", F.round(vectors.box_area(F.col("b")), 9).alias("area"), F.round(vectors.center_distance(F.col("b")), 9).alias("from_center"), vectors.touches_edge(F.col("b")).alias("at_edge"))
+
+
+@query("""SELECT doc_id, substring(sha256('{"document":' || doc_id || ',"time":' || coalesce(time_position_ms::VARCHAR, 'null') || '}'), 1, 24) AS request FROM documents WHERE doc_id IS NOT NULL""")
+def request_ids(t: Tables) -> DataFrame:
+    return t.documents.where("doc_id is not null").select("doc_id", search.request_id({"time": F.col("time_position_ms"), "document": F.col("doc_id")}).alias("request"))
+
+
+@query(_PERSONS.split(", m AS")[0] + """ SELECT DISTINCT person_cluster_id, CASE WHEN member_count = 1 THEN 'singleton' WHEN distinct_source_count >= 2 OR coalesce(human_review_status = 'confirmed', false) THEN 'high' ELSE 'review' END AS confidence FROM person_members""")
+def cluster_confidences(t: Tables) -> DataFrame:
+    from framelode.operators import identity
+
+    confirmed = F.coalesce(F.col("human_review_status") == "confirmed", F.lit(False))
+    return rows(t, "person_members").select("person_cluster_id", identity.cluster_confidence(F.col("member_count"), F.col("distinct_source_count"), confirmed).alias("confidence")).distinct()
+
+
+@query("""WITH b AS (SELECT source_file_id, content_sha256, updated_at, lower(trim(dedup_role)) AS role FROM source_file_records WHERE source_file_id IS NOT NULL AND content_sha256 IS NOT NULL), o AS (SELECT source_file_id, min(content_sha256) AS sha FROM b WHERE role = 'canonical' GROUP BY 1), s AS (SELECT source_file_id, content_sha256 AS sha FROM (SELECT *, row_number() OVER (PARTITION BY source_file_id ORDER BY updated_at DESC NULLS LAST, content_sha256 DESC) AS n FROM b) WHERE n = 1)
+    SELECT * FROM o UNION ALL SELECT * FROM s WHERE source_file_id NOT IN (SELECT source_file_id FROM o) AND sha NOT IN (SELECT sha FROM o)""")
+def supplemented_files(t: Tables) -> DataFrame:
+    """The canonical files, and the newest rows of all others that bring content which the base lacks."""
+    from framelode.operators import evidence
+
+    both = t.source_file_records.where("source_file_id is not null and content_sha256 is not null").select("source_file_id", F.col("content_sha256").alias("sha"), "updated_at", F.lower(F.trim("dedup_role")).alias("role"))
+    base = both.where("role = 'canonical'").groupBy("source_file_id").agg(F.min("sha").alias("sha"))
+    return evidence.merge_supplement(base, both.drop("role"), "source_file_id", "sha", "updated_at").select("source_file_id", "sha")

@@ -31,6 +31,9 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         ("p4", "f9", "f9", "u7", "image", 1.0, 1, 1, "singleton", "confirmed"), ("p5", "g1", "g1", "u8", "image", 1.0, 3, 3, "review", None),
     ]),
     "layouts": ("src string, n bigint, raw string, content string", [("a", 1, "wide", "wide"), ("a", 2, "wide", "tall"), ("a", 3, "tall", "tall"), ("a", 4, "wide", "tall"), ("b", 1, "tall", "x"), ("b", 2, "tall", "x")]),
+    "pixel_boxes": ("box string, x1 double, y1 double, x2 double, y2 double, width double, height double", [
+        ("b1", 10.0, 20.0, 110.0, 220.0, 200.0, 400.0), ("b2", 0.1, 0.2, 0.6, 0.7, 200.0, 400.0), ("b3", 0.5, 0.5, 0.5, 0.9, 200.0, 400.0), ("b4", -10.0, 5.0, 500.0, 50.0, 200.0, 100.0), ("b5", 1.2, 0.0, 1.4, 1.0, 10.0, 10.0),
+    ]),
     "text_documents": ("document_id bigint, text_vector_id string, embedding_text string, x double, y double", [
         (1, "v1", "a tent by the sea", 1.0, 0.0), (2, "v1", "a tent by the sea", 1.0, 0.0), (3, "v2", "camp fire", 0.8, 0.6), (4, "v3", "The Tent burns", 0.0, 1.0), (5, "v4", "street", 0.6, 0.8), (6, "v1", "a tent by the sea", 1.0, 0.0), (7, "v5", "night", -1.0, 0.0),
     ]),
